@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -57,3 +58,8 @@ def in_fold(column: Column, folds: int) -> Column:
 
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of `df` with the fields of a DDL string after it."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from tracelake.llm.chat_format import op6_chat_format
+from tracelake.llm.html_text import op4_html_text
+from tracelake.llm.licenses import op3_licenses
+from tracelake.llm.sentencepiece_tok import op8_sentencepiece
 from tracelake.llm.simhash import op1_simhash
+from tracelake.llm.token_cache import op10_token_counts
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_licenses": op3_licenses,
+    "op4_html_text": op4_html_text,
+    "op6_chat_format": op6_chat_format,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
