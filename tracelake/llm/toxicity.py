@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
-A word enters as an embedding of itself and the mean embedding of its character
-n-grams. Both directions of the network read windows of words that overlap;
+A word enters as an embedding of itself and the highest values over the
+embeddings of its character n-grams. Both directions of the network read windows of words that overlap;
 attention pools a window's states into one logit. A document's logit is that of
 its worst window, scaled by a logistic fit on whole training documents.
 
@@ -30,9 +30,13 @@ WINDOW, STRIDE = 48, 32
 HIDDEN, DIM = 16, 16
 WORD_ROWS = GRAM_ROWS = 1 << 15
 GRAMS = (3, 4, 5, 6)
-#: Labelled rows of each class that training reads at most: chosen by a hash of the id.
-TRAIN_ROWS_PER_CLASS = 1500
-EPOCHS, ROUNDS, BATCH = 3, 3, 128
+#: Labelled rows with label 0 and with label 1 that training reads at most, chosen by a hash of the id.
+TRAIN_ROWS = (3000, 1500)
+EPOCHS, ROUNDS, BATCH = 2, 4, 128
+#: Share of a batch's words that keep their own embedding in training.
+HEARD = 0.5
+#: Of so many training documents one is left to the logistic fit.
+FIT_FOLD = 5
 #: Words whose projections a worker keeps.
 KEPT_WORDS = 150_000
 EDGE = string.punctuation + "¿¡«»“”„’‘–—…"
@@ -80,17 +84,26 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return own, rows[order], np.searchsorted(at[order], np.arange(len(words) + 1))
 
 
-def _mean_rows(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Mean of the table's rows for each run of `rows`; zero for an empty run."""
+def _highest(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Highest value of each column over the table's rows of each run of `rows`;
+    zero for an empty run."""
     out = np.zeros((len(starts) - 1, table.shape[1]), np.float32)
     some = np.flatnonzero(starts[1:] > starts[:-1])
     for at in range(0, len(some), 20_000):
         part = some[at : at + 20_000]
         got = table[rows[starts[part[0]] : starts[part[-1] + 1]]]
-        out[part] = np.add.reduceat(got, starts[part] - starts[part[0]]) / (starts[part + 1] - starts[part])[:, None]
+        out[part] = np.maximum.reduceat(got, starts[part] - starts[part[0]])
     return out
 
 
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the values by row: the rows that occur, and their sums."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    return rows[first], np.add.reduceat(values[order], first)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
     np.exp(x, out=x)
@@ -119,7 +132,7 @@ class Model:
 
     def inputs(self, features: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         own, rows, starts = features
-        return np.concatenate([self.w["words"][own], _mean_rows(self.w["grams"], rows, starts)], axis=1)
+        return np.concatenate([self.w["words"][own], _highest(self.w["grams"], rows, starts)], axis=1)
 
     def projected(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x @ self.w["xf"] + self.w["cf"], x @ self.w["xb"] + self.w["cb"]
@@ -178,9 +191,11 @@ def _gradients(m: Model, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[
     ds = a[:, :, None] * dp + de[:, :, None] * m.w["attend"]
     dx = np.zeros_like(x)
     steps = at.shape[1]
+    said = at.T.ravel() >= 0
     for k, d in enumerate("fb"):
         u = m.w[f"h{d}"]
         du, dproj = np.zeros_like(u), np.zeros((len(x), 3 * HIDDEN), np.float32)
+        each = np.zeros((steps, len(at), 3 * HIDDEN), np.float32)
         dh = np.zeros((len(at), HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
             dh = dh + ds[t, :, k * HIDDEN : (k + 1) * HIDDEN]
@@ -190,11 +205,12 @@ def _gradients(m: Model, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[
             dc = dn * (1 - z) * (1 - c * c)
             dz = dn * (h - c) * z * (1 - z)
             dr = dc * hc * r * (1 - r)
-            dx3 = np.concatenate([dz, dr, dc], axis=1)
+            each[t] = np.concatenate([dz, dr, dc], axis=1)
             du3 = np.concatenate([dz, dr, dc * r], axis=1)
             du += h.T @ du3
             dh = dh * (1 - here) + dn * z + du3 @ u.T
-            np.add.at(dproj, at[:, t], dx3)  # row -1, of no word, gets zeros
+        named, total = _summed(at.T.ravel()[said], each.reshape(-1, 3 * HIDDEN)[said])
+        dproj[named] = total
         out[f"h{d}"], out[f"c{d}"], out[f"x{d}"] = du, dproj.sum(0), x.T @ dproj
         dx += dproj @ m.w[f"x{d}"].T
     return out, dx
@@ -248,9 +264,12 @@ def trained(texts: list[str], labels: list[int], rate_of_ones: float | None = No
         n = lengths[words]
         return rows[np.repeat(starts[words] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
-    uniques = [np.unique(d) for d in ids]
-    by_word = _apart([np.unique(own[u]) for u in uniques], y, WORD_ROWS)
-    by_gram = _apart([np.unique(grams_of(u)) for u in uniques], y, GRAM_ROWS)
+    fit = np.zeros(len(y), bool)
+    for label in (0, 1):
+        fit[np.flatnonzero(y == label)[FIT_FOLD - 1 :: FIT_FOLD]] = True
+    uniques = [np.unique(d) for d, f in zip(ids, fit, strict=True) if not f]
+    by_word = _apart([np.unique(own[u]) for u in uniques], y[~fit], WORD_ROWS)
+    by_gram = _apart([np.unique(grams_of(u)) for u in uniques], y[~fit], GRAM_ROWS)
     m.w["words"][:, 0], m.w["grams"][:, 0] = by_word, by_gram
     best_gram = np.zeros(len(own), np.float32)
     some = lengths > 0
@@ -276,6 +295,7 @@ def trained(texts: list[str], labels: list[int], rate_of_ones: float | None = No
         clean = np.flatnonzero(y[doc] == 0)
         chosen.append(rng.choice(clean, min(len(clean), len(docs) // 2), replace=False))
         chosen = np.unique(np.concatenate(chosen))
+        chosen = chosen[~fit[doc[chosen]]]
         for _ in range(EPOCHS):
             chosen = rng.permutation(chosen)
             for i in range(0, len(chosen), BATCH):
@@ -287,16 +307,18 @@ def trained(texts: list[str], labels: list[int], rate_of_ones: float | None = No
                 n = lengths[words]
                 grams = grams_of(words)
                 x = m.inputs((own[words], grams, np.append(0, np.cumsum(n))))
+                heard = rng.random(len(words)) < HEARD
+                x[:, :DIM] *= heard[:, None]  # else words themselves are learned by heart
                 grads, dx = _gradients(m, x, where, y[doc[part]])
-                for k, r, g in (("words", own[words], dx[:, :DIM]), ("grams", grams, np.repeat(dx[:, DIM:] / np.maximum(n, 1)[:, None], n, axis=0))):
-                    named, to = np.unique(r, return_inverse=True)
-                    total = np.zeros((len(named), DIM), np.float32)
-                    np.add.at(total, to, g)
-                    grads[k] = (named, total)
+                grads["words"] = _summed(own[words], dx[:, :DIM] * heard[:, None])
+                highest = m.w["grams"][grams] == np.repeat(x[:, DIM:], n, axis=0)
+                grads["grams"] = _summed(grams, highest * np.repeat(dx[:, DIM:], n, axis=0))
                 adam.step(m.w, grads)
         score = m.logits(m.projected(m.inputs((own, rows, starts))), at)
     worst = np.maximum.reduceat(score, first)
-    m.slope, m.shift = _logistic(worst, y, rate_of_ones if rate_of_ones is not None else float(y.mean()))
+    rate = rate_of_ones if rate_of_ones is not None else float(y.mean())
+    held = fit if y[fit].any() else ~fit  # too few documents for a fold
+    m.slope, m.shift = _logistic(worst[held], y[held], rate)
     return m
 
 
@@ -382,23 +404,23 @@ def _scorer(key: int, broadcast) -> _Scorer:
     return _Scorer(broadcast.value)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER_CLASS) -> tuple[pd.DataFrame, float]:
-    """Texts and labels of at most `rows_per_class` documents of each label that
+def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = TRAIN_ROWS) -> tuple[pd.DataFrame, float]:
+    """Texts and labels of at most `most` documents of either label that
     aren't held out, smallest hash of the id first; and the share of label 1
     among all such labels. Labels or ids that are null teach nothing; of
     several labels for an id the largest counts."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(in_fold(F.col("doc_id"), 5) != 0)
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") >= 1, 1).otherwise(0)).alias("toxic"))
     share = usable.agg(F.avg("toxic").alias("share")).first()["share"]
-    picked = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for c in (0, 1)]
-    few = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * rows_per_class rows
+    picked = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[c]) for c in (0, 1)]
+    few = F.broadcast(picked[0].unionByName(picked[1]))  # at most the sum of `most` rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = texts.join(few, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
     return rows.toPandas().sort_values("doc_id"), float(share or 0.0)
 
 
-def model_for(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER_CLASS) -> Model:
-    rows, share = training_rows(docs, labels, rows_per_class)
+def model_for(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = TRAIN_ROWS) -> Model:
+    rows, share = training_rows(docs, labels, most)
     return trained(rows["text"].tolist(), rows["toxic"].astype(int).tolist(), share)
 
 
