@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -63,3 +67,17 @@ def union(frames: list[DataFrame]) -> DataFrame:
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of `df` with the fields of a DDL string after it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose strings (or lists) of a column come to
+    `most` bytes (or items) at most, or one row."""
+    values = batch.column(column)
+    sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from tracelake.llm.chat_format import op6_chat_format
+from tracelake.llm.decontaminate import op9_decontaminate
+from tracelake.llm.hilbert_ann import op7_hilbert_neighbours
 from tracelake.llm.html_text import op4_html_text
 from tracelake.llm.licenses import op3_licenses
 from tracelake.llm.sentencepiece_tok import op8_sentencepiece
 from tracelake.llm.simhash import op1_simhash
 from tracelake.llm.token_cache import op10_token_counts
+from tracelake.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op3_licenses": op3_licenses,
     "op4_html_text": op4_html_text,
     "op6_chat_format": op6_chat_format,
+    "op7_hilbert_neighbours": op7_hilbert_neighbours,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -17,16 +17,17 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tracelake.llm.common import table, with_fields
+from tracelake.llm.common import slices, table, with_fields
 
 MARK = "▁"
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Characters given to the library at once, which bounds the memory of a batch.
-BATCH_CHARS = 1 << 19
+#: Bytes given to the library at once (or one text), which bounds the memory of a batch.
+BATCH_BYTES = 1 << 19
+#: Threads that encode a batch in one task.
+THREADS = 2
 
 
 def default_model() -> str:
@@ -166,63 +167,55 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def batches(self, texts: list[str]) -> Iterator[list[str]]:
-        """Runs of texts of BATCH_CHARS characters or one text."""
-        run, size = [], 0
-        for t in texts:
-            if run and size + len(t) > BATCH_CHARS:
-                yield run
-                run, size = [], 0
-            run.append(t)
-            size += len(t)
-        if run:
-            yield run
-
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     return Codec(path)
 
 
-def encoded(docs: DataFrame, model: str | None = None, text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, model: str | None = None, text: str = "text", check: bool = False) -> DataFrame:
     """`docs` with two more columns: ids (array<int>) and n_tokens (long), which
     replace columns of these names. No begin or end tokens; strings that look
     like special tokens are ordinary text. A null text counts as an empty one,
     which has no tokens. Rows, repeats and other columns stay as they are; an
-    empty table gives an empty result."""
+    empty table gives an empty result. With `check`, a column round_trip tells
+    whether decoding the ids gave the text again."""
     path = model or default_model()
+    extra = ["ids", "n_tokens", *["round_trip"] * check]
+    rows = docs.drop(*extra)
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(path)
-        at = names.index(text)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            start = 0
-            for some in of.batches(texts):
-                ids = pa.array(of.encode(some), pa.list_(pa.int32()))
-                part = batch.slice(start, len(some))
-                start += len(some)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, ids.value_lengths().cast(pa.int64())], [*names, "ids", "n_tokens"])
-
-    rows = docs.drop("ids", "n_tokens")
-    names = rows.columns
-    return rows.mapInArrow(run, with_fields(rows, "ids array<int>, n_tokens long"))
+            for part in slices(batch, names.index(text), BATCH_BYTES):
+                texts = [t or "" for t in part.column(names.index(text)).to_pylist()]
+                found = of.encode(texts)
+                ids = pa.array(found, pa.list_(pa.int32()))
+                new = [ids, ids.value_lengths().cast(pa.int64())]
+                if check:
+                    new.append(pa.array([a == b for a, b in zip(texts, of.decode(found), strict=True)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*names, *extra])
+
+    return rows.mapInArrow(run, with_fields(rows, "ids array<int>, n_tokens long" + ", round_trip boolean" * check))
 
 
 def decoded(rows: DataFrame, model: str | None = None, ids: str = "ids") -> DataFrame:
     """`rows` with a column `decoded`, the text of the ids; null ids: null."""
     path = model or default_model()
+    rows = rows.drop("decoded")
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(path)
         for batch in batches:
-            found = batch.column(names.index(ids)).to_pylist()
-            texts = of.decode([x or [] for x in found])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([None if x is None else t for x, t in zip(found, texts, strict=True)], pa.string())], [*names, "decoded"]
-            )
+            for part in slices(batch, names.index(ids), BATCH_BYTES // 4):
+                found = part.column(names.index(ids)).to_pylist()
+                texts = of.decode([x or [] for x in found])
+                texts = pa.array([None if x is None else t for x, t in zip(found, texts, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*names, "decoded"])
 
     return rows.mapInArrow(run, with_fields(rows, "decoded string"))
 
@@ -239,5 +232,4 @@ def parity(texts: list[str], model: str | None = None) -> list[int]:
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (the decoded ids are the text again)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = decoded(encoded(docs))
-    return rows.select("doc_id", "n_tokens", "ids", F.coalesce(F.col("text") == F.col("decoded"), F.lit(True)).alias("round_trip"))
+    return encoded(docs, check=True).select("doc_id", "n_tokens", "ids", "round_trip")

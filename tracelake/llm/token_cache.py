@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import new_path, table
+from tracelake.llm.common import new_path, slices, table, written
 from tracelake.llm.sentencepiece_tok import default_model
 
 CACHE = "digest string, tokenizer string, n_tokens long"
-#: Characters encoded at once, which bounds the memory of a batch.
-BATCH_CHARS = 1 << 18
+#: Bytes encoded at once (or one text), which bounds the memory of a batch.
+BATCH_BYTES = 1 << 18
 
 
 def version(tokenizer: str) -> str:
@@ -49,16 +49,9 @@ def _encoded(missing: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(tokenizer)
         for batch in batches:
-            counts, some, size = [], [], 0
-            for text in batch.column(1):
-                text = text.as_py()
-                if some and size + len(text) > BATCH_CHARS:
-                    counts += count(some)
-                    some, size = [], 0
-                some.append(text)
-                size += len(text)
-            counts += count(some) if some else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            for part in slices(batch, 1, BATCH_BYTES):
+                counts = count(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     return missing.mapInArrow(run, "digest string, n_tokens long")
 
@@ -100,7 +93,8 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer: str | None = None,
     new = _encoded(missing, tokenizer)
     new.select("digest", F.lit(this).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     rows = docs.select(F.col("doc_id").cast("long"), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.join(known(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # The counts are written first, so that the join is between two plain shuffles, which Spark splits where many copies meet.
+    return rows.join(written(known(), "token-counts"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
