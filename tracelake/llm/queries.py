@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tracelake.llm.chat_format import op6_chat_format
 from tracelake.llm.decontaminate import op9_decontaminate
+from tracelake.llm.gru_lm import op5_gru_lm
 from tracelake.llm.hilbert_ann import op7_hilbert_neighbours
 from tracelake.llm.html_text import op4_html_text
 from tracelake.llm.licenses import op3_licenses
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_licenses": op3_licenses,
     "op4_html_text": op4_html_text,
+    "op5_gru_lm": op5_gru_lm,
     "op6_chat_format": op6_chat_format,
     "op7_hilbert_neighbours": op7_hilbert_neighbours,
     "op8_sentencepiece": op8_sentencepiece,
