@@ -24,6 +24,8 @@ from tracelake.llm.common import table, written
 
 CURVES, BLOCKS = 44, 100
 DIMS, BITS = 16, 3
+#: Rows of a block at least, on average: of few rows all are looked through.
+BLOCK_ROWS = 32
 #: Rows and queries of one unit of work, on average at most.
 UNIT_ROWS, UNIT_QUERIES = 4096, 1024
 SEED = 11
@@ -183,6 +185,7 @@ def nearest(vectors: DataFrame, k: int = 10, query_step: int = 100, curves: int
     classes = classes.where(F.size("v") == size)
     n, mean, cov = _moments(classes, size)
     shape = Curves(mean, cov, curves)
+    blocks = max(1, min(blocks, n // BLOCK_ROWS))
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -193,9 +196,9 @@ def nearest(vectors: DataFrame, k: int = 10, query_step: int = 100, curves: int
     shares = [i / blocks for i in range(1, blocks)]
     cuts = (
         classes.select("v").mapInPandas(keyed, "curve int, key long").groupBy("curve")
-        .agg(F.percentile_approx("key", shares, 10 * blocks).alias("cuts")).collect()
+        .agg(F.percentile_approx("key", shares, 10 * blocks).alias("cuts") if shares else F.array().cast("array<long>").alias("cuts")).collect()
     )
-    edges = np.array([r["cuts"] for r in sorted(cuts, key=lambda r: r["curve"])], np.int64)
+    edges = np.array([r["cuts"] for r in sorted(cuts, key=lambda r: r["curve"])], np.int64).reshape(len(cuts), -1)
     parts = max(1, -(-n // (blocks * UNIT_ROWS)))
     queries = classes.where("asks").count()
     qparts = max(1, -(-3 * queries // (blocks * UNIT_QUERIES)))

@@ -83,19 +83,18 @@ class Scanner:
                 if start >= 0 and text.startswith(notice, start) and self._whole(text, start, start + len(notice)):
                     found[k, start] = (start + len(notice), 0)
                     continue
-                if not edits or tried.get(k, -1) >= start:
+                if not edits or tried.get(k, -(1 << 60)) >= start:
                     continue
                 low, high = max(0, start - edits), start + len(notice) + edits
                 tried[k] = start
-                m = self.fuzzy[k].search(text, low, high) if not high < len(text) else self.fuzzy[k].search(text[: high + 1], low)
-                if m and self._numbers(m.group()) == self._numbers(notice):
+                m = self.fuzzy[k].search(text, low, high + 1)  # and the space after it
+                if m and self._whole(text, m.start(), m.end()) and self._numbers(m.group()) == self._numbers(notice):
                     found.setdefault((k, m.start()), (m.end(), sum(m.fuzzy_counts)))
         out: list[tuple[int, int, int, int]] = []
-        reach: dict[int, int] = {}
-        for (k, start), (end, edits) in sorted(found.items(), key=lambda x: (x[1][1] > 0, x[0][1], x[0][0])):
+        # exact places first; a fuzzy one must not lie over one already there
+        for (k, start), (end, edits) in sorted(found.items(), key=lambda x: (x[1][1], x[0][1], x[0][0])):
             if edits == 0 or not any(o[0] == k and o[1] < end and start < o[2] for o in out):
                 out.append((k, start, end, edits))
-                reach[k] = end
         return sorted(out, key=lambda x: (x[1], x[0]))
 
     @staticmethod
