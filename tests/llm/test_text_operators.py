@@ -14,6 +14,8 @@ def texts_of(df):
 def test_sentencepiece_parity_and_round_trip(spark, odd_docs, no_docs):
     texts = texts_of(odd_docs) + ["  two  spaces ", "▁mark▁", "<0x0A>\n", "a" * 3000, "né́e ﬁ 𝔘", "\x00\x01"]
     assert sentencepiece_tok.parity(texts) == []
+    codec = sentencepiece_tok.codec(sentencepiece_tok.default_model())
+    assert [b.decode() for b in codec.spelled(codec.encoded(texts))] == codec.decode(codec.encode(texts))
     rows = sentencepiece_tok.encoded(odd_docs, check=True)
     assert rows.columns == [c for c in odd_docs.columns if c != "ids"] + ["ids", "n_tokens", "round_trip"]
     got = sentencepiece_tok.decoded(rows).collect()
@@ -207,25 +209,65 @@ def test_language_model(spark, odd_docs, no_docs):
 
 def test_language_model_sums_to_one_and_gradients():
     counts = {w.encode(): c for w, c in zip("abcdefgh", range(9, 1, -1), strict=True)}
-    words = gru_lm.Vocabulary(44, 8, counts, list(counts), np.array([0, 2, 5, 8]), np.full(gru_lm.ENDING_CLASSES, 0.1), np.zeros(3 + gru_lm.ENDING_CLASSES, np.float32))
-    net = gru_lm.Network(words)
+    words = gru_lm.Vocabulary(
+        44, 8, {w: i for i, w in enumerate(counts)}, np.array(list(counts.values())), np.arange(8, dtype=np.int32), 8, np.array([0, 2, 5, 8]),
+        np.full(gru_lm.ENDING_CLASSES, 0.1), np.zeros(3 + gru_lm.ENDING_CLASSES, np.float32),
+    )
+    net, rng = gru_lm.Network(words), np.random.default_rng(0)
     net.flat = net.flat.astype(np.float64)
-    at = 0
-    for k, shape in net.shapes.items():
-        net.w[k] = net.flat[at : at + int(np.prod(shape))].reshape(shape)
-        at += int(np.prod(shape))
-    s = np.random.default_rng(0).standard_normal((1, gru_lm.HIDDEN))
+    net.w = net.parts(net.flat)
+    s = np.append(rng.standard_normal((1, gru_lm.HIDDEN)), [[1.0]], axis=1)
     every = np.arange(8 + gru_lm.ENDING_CLASSES)
-    assert np.exp(net.log_probabilities(np.repeat(s, len(every), 0), every)).sum() == pytest.approx(1)
-    symbols, states = np.array([0, 3, 7, 9]), np.random.default_rng(1).standard_normal((4, gru_lm.HIDDEN))
+    for bounded in (True, False):
+        assert np.exp(net.log_probabilities(np.repeat(s, len(every), 0), every, bounded)).sum() == pytest.approx(1, rel=1e-5)
+    symbols, states = np.array([0, 3, 7, 9]), np.append(rng.standard_normal((4, gru_lm.HIDDEN)), np.ones((4, 1)), axis=1)
     grads = {k: np.zeros(v) for k, v in net.shapes.items()}
-    net.log_probabilities(states, symbols, grads)
-    for name in ("class", "word", "word_b", "class_b"):
+    net.log_probabilities(states, symbols, True, grads)
+    for name in ("class", "word"):
         i = np.unravel_index(np.argmax(np.abs(grads[name])), grads[name].shape)
         w, h = net.w[name], 1e-4
         w[i] += h
-        up = -net.log_probabilities(states, symbols).mean()
+        up = -net.log_probabilities(states, symbols, True).mean()
         w[i] -= 2 * h
-        down = -net.log_probabilities(states, symbols).mean()
+        down = -net.log_probabilities(states, symbols, True).mean()
         w[i] += h
         assert grads[name][i] == pytest.approx((up - down) / (2 * h), rel=0.05, abs=1e-5), name
+
+
+def test_language_model_backpropagation():
+    """Gradients of the recurrent weights, over two documents side by side."""
+    words = gru_lm.Vocabulary(
+        44, 8, {}, np.arange(8, 0, -1), np.arange(8, dtype=np.int32), 8, np.array([0, 2, 5, 8]), np.full(gru_lm.ENDING_CLASSES, 0.1), np.zeros(3 + gru_lm.ENDING_CLASSES, np.float32)
+    )
+    docs = [np.array([1, 2, 3, 4, 5, 0]), np.array([7, 6, 0])]
+
+    def loss(net):
+        inputs, targets, fresh, number = gru_lm.streams(docs, gru_lm.lanes_of(docs, 2), 0)
+        states, _ = net.states(net.projected(inputs), fresh, np.zeros((2, gru_lm.HIDDEN), np.float32))
+        there = number.ravel() >= 0
+        return -net.log_probabilities(states.reshape(-1, gru_lm.HIDDEN + 1)[there], targets.ravel()[there], True).astype(float).mean()
+
+    net = gru_lm.Network(words)
+    before, squares = gru_lm.Network(words, net.flat), np.full_like(net.flat, 1e12)  # so large that the step is the gradient, scaled
+    gru_lm.train_on(net, docs, 0, squares)
+    step = gru_lm.Network(words, (before.flat - net.flat) * 1e6 / gru_lm.RATE)
+    for name in ("embed", "x", "h", "b"):
+        g = step.w[name]
+        i = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        w, h = before.w[name], 1e-2
+        w[i] += h
+        up = loss(before)
+        w[i] -= 2 * h
+        down = loss(before)
+        w[i] += h
+        assert (up - down) / (2 * h) == pytest.approx(float(g[i]), rel=0.2, abs=5e-3), name
+
+
+def test_language_model_words_are_those_of_the_base():
+    texts = ["  Ab\x0b c\x1c d\n\n\u00a0e ", "", None, "É é É", "x" * 5000]
+    words = gru_lm.Vocabulary(10, 2, {b"c": 0}, np.array([3]), np.array([0], np.int32), 1, np.array([0, 1]), np.full(gru_lm.ENDING_CLASSES, 0.1), np.zeros(1 + gru_lm.ENDING_CLASSES, np.float32))
+    got = gru_lm._Scorer(words, gru_lm.Network(words).flat).score(gru_lm.pa.array(texts))
+    assert got["n_tokens"].to_pylist() == [len(gru_lm.tokens_of(t)) + 1 for t in texts] and got["n_known"].to_pylist() == [0, 0, 0, 0, 0]
+    assert [sorted((x["token"], x["n"]) for x in r if x["token"] != "\n") for r in got["rare"].to_pylist()] == [
+        sorted((k.decode(), n) for k, n in gru_lm.Counter(gru_lm.tokens_of(t)).items() if k != b"c") for t in texts
+    ]
