@@ -1,6 +1,10 @@
-"""Registered queries and their SQL twins."""
+"""Queries and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tracelake.plans import finance, messages, relations, telemetry
+from tracelake.streaming import live
+
+_MODULES = (telemetry, messages, finance, relations, live)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
