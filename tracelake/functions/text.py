@@ -85,6 +85,9 @@ def size_label(size: Column) -> Column:
 
 def cut_bytes(text: Column, most: int) -> Column:
     """At most so many UTF-8 bytes, never half a character."""
-    data = F.substring(F.encode(text, "UTF-8"), 1, most)
-    whole = F.try_to_binary(F.hex(data), F.lit("hex"))
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(F.decode(whole, "UTF-8"), "�+$", ""))
+    data = F.encode(text, "UTF-8")
+    inside = lambda at: F.hex(F.substring(data, F.lit(at + 1), F.lit(1))).rlike("^[89AB]")  # noqa: E731 - the next byte goes on with a character
+    end = F.lit(max(0, most - 3))
+    for at in range(max(0, most - 2), most + 1):
+        end = F.when(inside(at), end).otherwise(F.lit(at))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(data, F.lit(1), end), "UTF-8"))
