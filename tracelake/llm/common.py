@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,7 +18,14 @@ from pyspark.sql.types import StructType
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Rows of an Arrow batch: texts are whole, so fewer rows than Spark's default bound a batch's bytes.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of whole texts; where the session has Spark's own size of Arrow batches, it gets a smaller one."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,6 +77,38 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def resized(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose strings in a column come to about `most` bytes, or one row."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, column, most):
+            held.append(part)
+            size += part.column(column).nbytes
+            if size >= most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+_held: list = []
+
+
+def kept(key: Hashable, build: Callable):
+    """What `build` makes, kept for the next task of the worker with the same key.
+    A worker holds one operator's model at a time, and gives memory that is free
+    back to the machine at the start of each task."""
+    if not _held or _held[0] != key:
+        _held.clear()
+        _held.extend((key, build()))
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+    return _held[1]
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose strings (or lists) of a column come to
     `most` bytes (or items) at most, or one row."""

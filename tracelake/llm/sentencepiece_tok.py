@@ -14,11 +14,14 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tracelake.llm.common import slices, table, with_fields
+from tracelake.llm.common import kept, slices, table, with_fields
 
 MARK = "▁"
 #: Piece types of the model format (fixed values).
@@ -113,6 +116,8 @@ class Codec:
         with open(path, "rb") as f:
             self.model = parse(f.read())
         self.tokenizer = self._built()
+        # the bytes that each id stands for
+        self.bytes = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces], pa.large_binary())
 
     def _merges(self, ids: dict[str, int]) -> list[tuple[str, str]]:
         """Each way to put a piece together from two others, best score first."""
@@ -164,39 +169,55 @@ class Codec:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids if t else [] for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
 
+    def encoded(self, texts: list[str]) -> pa.ListArray:
+        found = self.encode(texts)
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))))
+
+    def spelled(self, ids: pa.ListArray) -> list[bytes]:
+        """The bytes that each row's ids spell, without the space put before a text."""
+        ends, parts = ids.offsets.to_numpy(), pc.take(self.bytes, ids.values)
+        at = np.frombuffer(parts.buffers()[1], np.int64)[ends]
+        data = memoryview(parts.buffers()[2] or b"")
+        skip = [int(self.model.add_dummy_prefix and a < b and data[a] == 32) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return [bytes(data[a + s : b]) for a, b, s in zip(at[:-1].tolist(), at[1:].tolist(), skip, strict=True)]
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def new_codec(path: str) -> Codec:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
     os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     return Codec(path)
 
 
+@lru_cache(maxsize=1)
+def codec(path: str) -> Codec:
+    return new_codec(path)
+
+
 def encoded(docs: DataFrame, model: str | None = None, text: str = "text", check: bool = False) -> DataFrame:
     """`docs` with two more columns: ids (array<int>) and n_tokens (long), which
     replace columns of these names. No begin or end tokens; strings that look
     like special tokens are ordinary text. A null text counts as an empty one,
     which has no tokens. Rows, repeats and other columns stay as they are; an
     empty table gives an empty result. With `check`, a column round_trip tells
-    whether decoding the ids gave the text again."""
+    whether the bytes that the ids spell are the text's."""
     path = model or default_model()
     extra = ["ids", "n_tokens", *["round_trip"] * check]
     rows = docs.drop(*extra)
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = codec(path)
+        of = kept(("codec", path), lambda: new_codec(path))
         for batch in batches:
             for part in slices(batch, names.index(text), BATCH_BYTES):
                 texts = [t or "" for t in part.column(names.index(text)).to_pylist()]
-                found = of.encode(texts)
-                ids = pa.array(found, pa.list_(pa.int32()))
+                ids = of.encoded(texts)
                 new = [ids, ids.value_lengths().cast(pa.int64())]
                 if check:
-                    new.append(pa.array([a == b for a, b in zip(texts, of.decode(found), strict=True)]))
+                    new.append(pa.array([a.encode() == b for a, b in zip(texts, of.spelled(ids), strict=True)]))
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*names, *extra])
 
     return rows.mapInArrow(run, with_fields(rows, "ids array<int>, n_tokens long" + ", round_trip boolean" * check))
@@ -209,7 +230,7 @@ def decoded(rows: DataFrame, model: str | None = None, ids: str = "ids") -> Data
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = codec(path)
+        of = kept(("codec", path), lambda: new_codec(path))
         for batch in batches:
             for part in slices(batch, names.index(ids), BATCH_BYTES // 4):
                 found = part.column(names.index(ids)).to_pylist()
