@@ -14,9 +14,9 @@ Scoring runs in Spark over every window of every text.
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import in_fold, table, with_fields
+from tracelake.llm.common import in_fold, kept, table, with_fields
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, DIM = 16, 16
@@ -37,6 +37,8 @@ EPOCHS, ROUNDS, BATCH = 2, 4, 128
 HEARD = 0.5
 #: Of so many training documents one is left to the logistic fit.
 FIT_FOLD = 5
+#: Words whose features are made at once.
+PART = 20_000
 #: Words whose projections a worker keeps.
 KEPT_WORDS = 150_000
 EDGE = string.punctuation + "¿¡«»“”„’‘–—…"
@@ -84,6 +86,14 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return own, rows[order], np.searchsorted(at[order], np.arange(len(words) + 1))
 
 
+def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`word_features` of many words, a part of them at a time and in small integers."""
+    found = [word_features(words[i : i + PART]) for i in range(0, len(words), PART)]
+    before = np.cumsum([0, *(len(rows) for _, rows, _ in found)])
+    starts = [s[:-1] + b for (_, _, s), b in zip(found, before, strict=False)]
+    return np.concatenate([o for o, _, _ in found]), np.concatenate([r.astype(np.int32) for _, r, _ in found]), np.append(np.concatenate(starts), before[-1])
+
+
 def _highest(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Highest value of each column over the table's rows of each run of `rows`;
     zero for an empty run."""
@@ -253,10 +263,10 @@ def trained(texts: list[str], labels: list[int], rate_of_ones: float | None = No
         p = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
         m.slope, m.shift = 0.0, float(np.log(p / (1 - p))) if len(y) else -1e-6
         return m
-    docs = [words_of(t) for t in texts]
     vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d], np.int64) for d in docs]
-    own, rows, starts = word_features(list(vocabulary) or ["-"])
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
+    own, rows, starts = features_of(list(vocabulary) or ["-"])
+    del vocabulary
     lengths = starts[1:] - starts[:-1]
 
     def grams_of(words: np.ndarray) -> np.ndarray:
@@ -280,7 +290,7 @@ def trained(texts: list[str], labels: list[int], rate_of_ones: float | None = No
     for k, d in enumerate(ids):
         for s in windows_of(len(d)):
             part = d[s : s + WINDOW]
-            at.append(np.pad(part, (0, WINDOW - len(part)), constant_values=-1))
+            at.append(np.pad(part, (0, WINDOW - len(part)), constant_values=-1).astype(np.int32))
             doc.append(k)
     at, doc = np.array(at), np.array(doc)
     first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
@@ -293,7 +303,7 @@ def trained(texts: list[str], labels: list[int], rate_of_ones: float | None = No
         second = order[np.minimum(first + 1, np.append(first[1:], len(doc)) - 1)]
         chosen.append(second[y[doc[second]] == 0])
         clean = np.flatnonzero(y[doc] == 0)
-        chosen.append(rng.choice(clean, min(len(clean), len(docs) // 2), replace=False))
+        chosen.append(rng.choice(clean, min(len(clean), len(texts) // 2), replace=False))
         chosen = np.unique(np.concatenate(chosen))
         chosen = chosen[~fit[doc[chosen]]]
         for _ in range(EPOCHS):
@@ -314,7 +324,10 @@ def trained(texts: list[str], labels: list[int], rate_of_ones: float | None = No
                 highest = m.w["grams"][grams] == np.repeat(x[:, DIM:], n, axis=0)
                 grads["grams"] = _summed(grams, highest * np.repeat(dx[:, DIM:], n, axis=0))
                 adam.step(m.w, grads)
-        score = m.logits(m.projected(m.inputs((own, rows, starts))), at)
+        # in parts of the vocabulary, for the memory between
+        parts = [m.projected(m.inputs((own[i : i + PART], rows, starts[i : i + PART + 1]))) for i in range(0, len(own), PART)]
+        score = m.logits(tuple(np.concatenate(p) for p in zip(*parts, strict=True)), at)
+        del parts
     worst = np.maximum.reduceat(score, first)
     rate = rate_of_ones if rate_of_ones is not None else float(y.mean())
     held = fit if y[fit].any() else ~fit  # too few documents for a fold
@@ -344,11 +357,9 @@ class _Scorer:
 
     def __init__(self, model: Model):
         self.m = model
-        self.forget()
-
-    def forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.proj = [np.zeros((1024, 3 * HIDDEN), np.float32) for _ in range(2)]
+        # room for the words of a last run beyond those kept, so that it rarely has to grow
+        self.proj = [np.empty((KEPT_WORDS + 30_000, 3 * HIDDEN), np.float32) for _ in range(2)]
 
     def _rows(self, words: list[str]) -> np.ndarray:
         """Rows of a run of words, new ones added."""
@@ -360,7 +371,7 @@ class _Scorer:
             found = self.m.projected(self.m.inputs(word_features(new)))
             for k in range(2):
                 if n + len(new) > len(self.proj[k]):
-                    self.proj[k] = np.concatenate([self.proj[k][:n], np.zeros((n + 2 * len(new), 3 * HIDDEN), np.float32)])
+                    self.proj[k] = np.concatenate([self.proj[k][:n], np.empty((len(new), 3 * HIDDEN), np.float32)])
                 self.proj[k][n : n + len(new)] = found[k]
             self.rows.update(zip(new, range(n, n + len(new)), strict=True))
             at[missing] = [get(words[i]) for i in missing]
@@ -382,7 +393,7 @@ class _Scorer:
 
     def _run(self, docs: list[list[str]]) -> np.ndarray:
         if len(self.rows) > KEPT_WORDS:
-            self.forget()
+            self.rows = {}
         rows = self._rows([w for d in docs for w in d])
         begin = np.cumsum([0, *(len(d) for d in docs)])
         starts = [windows_of(len(d)) for d in docs]
@@ -399,11 +410,6 @@ class _Scorer:
         return np.maximum.reduceat(logits, first)
 
 
-@lru_cache(maxsize=2)
-def _scorer(key: int, broadcast) -> _Scorer:
-    return _Scorer(broadcast.value)
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = TRAIN_ROWS) -> tuple[pd.DataFrame, float]:
     """Texts and labels of at most `most` documents of either label that
     aren't held out, smallest hash of the id first; and the share of label 1
@@ -432,10 +438,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.drop("score")
     names, at = rows.columns, rows.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = id(model)
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(key, shared)
+        scorer = kept(("toxicity", key), lambda: _Scorer(shared.value))
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
