@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import slices, table
+from tracelake.llm.common import released, slices, table
 
 #: Sizes of windows in words. An item uses the largest that fits it.
 SIZES = (32, 16, 12, 8, 4, 2, 1)
@@ -256,6 +256,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            released()
             index = shared.value
             for batch in batches:
                 for part in slices(batch, 1, SLICE_BYTES):
@@ -290,6 +291,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            released()
             at = names.index("text")
             for batch in batches:
                 for part in slices(batch, at, SLICE_BYTES):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import table, written
+from tracelake.llm.common import released, table, written
 from tracelake.llm.components import components
 
 BITS = 64
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
     """(doc_id, fp): one row per row of `docs`; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words_per_shingle) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
@@ -72,8 +73,10 @@ def fingerprint_column(words_per_shingle: int = 4):
     """A function from a text column to its fingerprint as a signed long."""
 
     @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words_per_shingle) for t in texts], np.uint64).view(np.int64))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        released()
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, words_per_shingle) for t in texts], np.uint64).view(np.int64))
 
     return of
 
@@ -253,6 +256,7 @@ def links(fps: DataFrame, tau: int = 4) -> DataFrame:
     unit = ["part", "key", "bi", "bj"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        released()
         held: pd.DataFrame | None = None
 
         def done(f: pd.DataFrame) -> pd.DataFrame:
