@@ -144,6 +144,33 @@ def test_edit_distance_matches_brute_force():
         assert edits == best == plain(item, near[s:e])
 
 
+def test_decontamination_misses_no_item_within_its_edits():
+    """Items of every length with as many edits as allowed, spread or together, against brute force."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(200)]
+    items, texts = [], []
+    for n in range(1, 81):
+        for together in (False, True):
+            item = list(rng.choice(vocabulary, n))
+            items.append(" ".join(item))
+            most = int(decontaminate.EDITS * n)
+            first = int(rng.integers(n - most + 1))
+            for at in sorted(range(first, first + most) if together else rng.choice(n, most, replace=False).tolist(), reverse=True):
+                kind = rng.integers(3)
+                item[at : at + 1] = [[f"x{at}"], [], [item[at], f"x{at}"]][kind]
+            noise = [" ".join(rng.choice(vocabulary, rng.integers(0, 60))) for _ in range(2)]
+            texts.append(f"{noise[0]} {' '.join(item)} {noise[1]}")
+    index = decontaminate.Index.of(list(range(len(items))), items)
+    got = {(t, i): edits for t, i, _, _, edits in index.matches(decontaminate.pa.array(texts))}
+    words, starts = decontaminate.word_hashes(decontaminate.pa.array(texts))
+    assert all((t, t) in got for t in range(len(texts)))
+    for t in range(len(texts)):
+        for i in {t, *rng.integers(0, len(items), 4).tolist()}:
+            own = index.words[index.starts[i] : index.starts[i + 1] - 1]
+            edits = decontaminate.aligned(own, words[starts[t] : starts[t + 1] - 1])[0]
+            assert got.get((t, i)) == (edits if edits <= int(decontaminate.EDITS * len(own)) else None)
+
+
 def labelled(n, seed=0):
     rng = np.random.default_rng(seed)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "re") for b in ("sa", "no", "pe", "di", "fu", "gor", "lim")]

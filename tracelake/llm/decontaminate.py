@@ -11,7 +11,12 @@ between the item and the text around the window decides.
 
 Windows start at every `stride`-th word of a text; an item is embedded from
 `stride` words on end, so that one of its embeddings meets a window's start. The
-walks begin at places spread over the item, so edits close together spoil few.
+walks begin at places spread over the words that the item has beyond its window.
+
+Walks are likely to meet an edited item, not sure to. So an item is also cut into
+one part more than it may have edits: one part at least stands unedited in any
+text that holds the item, and each place with the words of a part is a candidate
+as well. The edit distance decides there too, so none within EDITS is missed.
 """
 
 from __future__ import annotations
@@ -119,6 +124,39 @@ def keys(words: np.ndarray, moves: np.ndarray, at: np.ndarray, size: int, number
     return key
 
 
+def grams(words: np.ndarray, size: int) -> np.ndarray:
+    """One key for each run of `size` words."""
+    key = np.full(len(words) - size + 1, size, np.uint64)
+    for k in range(size):
+        key ^= words[k : len(key) + k]
+        key *= _K
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def parts_of(n: int) -> tuple[list[int], int]:
+    """Where the parts of an item of n words start, one more than it may have
+    edits, and the words of each that are looked up."""
+    parts = int(EDITS * n) + 1
+    return [k * n // parts for k in range(parts)], n // parts
+
+
+def bitmap_of(keys: np.ndarray) -> np.ndarray:
+    """By the upper bits of a key, whether there may be such a key."""
+    bits = max(16, int(np.ceil(np.log2(len(keys)))) + 5)
+    bitmap = np.zeros(1 << bits, bool)
+    bitmap[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return bitmap
+
+
+def met(key: np.ndarray, bitmap: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in `key` and in the ordered `known` with the same key."""
+    hit = np.flatnonzero(bitmap[(key >> np.uint64(65 - len(bitmap).bit_length())).astype(np.int64)])
+    low, high = np.searchsorted(known, key[hit]), np.searchsorted(known, key[hit], "right")
+    hit, low, count_of = hit[high > low], low[high > low], (high - low)[high > low]
+    return np.repeat(hit, count_of), np.repeat(low - np.append(0, np.cumsum(count_of)[:-1]), count_of) + np.arange(count_of.sum())
+
+
 def moves_of(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(32)).astype(np.uint32)
 
@@ -132,6 +170,7 @@ class Index:
     moves: np.ndarray
     starts: np.ndarray
     by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # bitmap, keys in order, item, place
+    parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by words looked up: the same of the parts
 
     @staticmethod
     def of(ids: list[int], texts: list[str]) -> Index:
@@ -150,15 +189,26 @@ class Index:
             places = [starts[item] + spare * k // (WALKS - 1) + np.tile(np.arange(stride(size)), len(items)) for k in range(WALKS)]
             found = np.concatenate([keys(words, moves, place, size, k) for k, place in enumerate(places)])
             order = np.argsort(found, kind="stable")
-            bits = max(16, int(np.ceil(np.log2(len(found)))) + 5)
-            bitmap = np.zeros(1 << bits, bool)
-            bitmap[(found >> np.uint64(64 - bits)).astype(np.int64)] = True
-            by_size[size] = (bitmap, found[order], np.tile(item, WALKS)[order], np.concatenate(places)[order])
-        return Index(np.array(ids, np.int64), words, moves, starts, by_size)
-
-    def candidates(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, text, first word in the text) of the windows whose walk agrees with an item's."""
-        met: set[tuple[int, int]] = set()
+            by_size[size] = (bitmap_of(found), found[order], np.tile(item, WALKS)[order], np.concatenate(places)[order])
+        parts, pairs = {}, {}
+        for i in np.flatnonzero(n > 0).tolist():
+            begins, size = parts_of(int(n[i]))
+            pairs.setdefault(size, []).extend((i, int(starts[i]) + b) for b in begins)
+        for size, found in pairs.items():
+            item, place = np.array(found, np.int64).T
+            found = grams(words, size)[place]
+            order = np.argsort(found, kind="stable")
+            parts[size] = (bitmap_of(found), found[order], item[order], place[order])
+        return Index(np.array(ids, np.int64), words, moves, starts, by_size, parts)
+
+    def candidates(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(items, where they would begin) of the windows whose walk agrees with
+        an item's and of the places with the words of an item's part."""
+        for size, (bitmap, known, item, place) in self.parts.items():
+            if len(words) >= size:
+                at, entry = met(grams(words, size), bitmap, known)
+                # a run that reaches into the next text has a zero, which no part has
+                yield item[entry], at - (place[entry] - self.starts[item[entry]])
         moves = moves_of(words)
         for size, (bitmap, known, item, place) in self.by_size.items():
             step = stride(size)
@@ -166,44 +216,65 @@ class Index:
             count = -(-n // step)
             first = np.repeat(starts[:-1] - np.append(0, np.cumsum(count)[:-1]) * step, count)
             at = np.arange(int(count.sum())) * step + first
-            bits = np.uint64(64 - int(len(bitmap)).bit_length() + 1)
             for number in range(WALKS):
                 key = keys(words, moves, at, size, number)
-                hit = np.flatnonzero(bitmap[(key >> bits).astype(np.int64)])
-                low, high = np.searchsorted(known, key[hit]), np.searchsorted(known, key[hit], "right")
-                hit, low, count_of = hit[high > low], low[high > low], (high - low)[high > low]
+                hit, entry = met(key, bitmap, known)
                 if not len(hit):
                     continue
-                window = np.repeat(at[hit], count_of)
-                entry = np.repeat(low - np.append(0, np.cumsum(count_of)[:-1]), count_of) + np.arange(count_of.sum())
+                window = at[hit]
                 same = np.zeros(len(window), np.int32)
                 every = set(range(2 * size))
                 theirs = walk(self.words, self.moves, place[entry], size, number, every)
                 for a, b in zip(walk(words, moves, window, size, number, every), theirs, strict=True):
                     same += (a == b) & (a != 0)
                 near = same >= AGREE * len(every)
-                for e, w in zip(entry[near].tolist(), window[near].tolist(), strict=True):
-                    begin = w - int(place[e] - self.starts[item[e]])
-                    if (int(item[e]), begin) not in met:
-                        met.add((int(item[e]), begin))
-                        yield int(item[e]), int(np.searchsorted(starts, w, "right")) - 1, begin
+                entry, window = entry[near], window[near]
+                yield item[entry], window - (place[entry] - self.starts[item[entry]])
+
+    def likely(self, item: int, begins: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Those of the places around which the text has enough of the item's words: each one it lacks is an edit."""
+        own = self.words[self.starts[item] : self.starts[item + 1] - 1]
+        most = int(EDITS * len(own))
+        around, out = np.arange(-most, len(own) + most), np.zeros(len(begins), bool)
+        block = max(1, (1 << 22) // (len(around) * len(own)))
+        for s in range(0, len(begins), block):
+            near = words[np.clip(begins[s : s + block, None] + around, 0, len(words) - 1)]
+            out[s : s + block] = (near[:, :, None] == own).any(1).sum(1) >= len(own) - most
+        return begins[out]
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, end word, edits): the place with the fewest
         edits (then the first) of each item in each text that holds it."""
         words, starts = word_hashes(texts)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for item, text, begin in self.candidates(words, starts):
+        found = list(self.candidates(words, starts))
+        if not found:
+            return []
+        pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
+        edges = np.flatnonzero(np.diff(pairs[0], prepend=-1, append=-1)) if pairs.size else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            item = int(pairs[0, a])
             own = self.words[self.starts[item] : self.starts[item + 1] - 1]
             most = int(EDITS * len(own))
-            low = max(int(starts[text]), begin - most)
-            near = words[low : min(int(starts[text + 1]) - 1, begin + len(own) + most)]
-            if np.isin(own, near).sum() < len(own) - most:
-                continue  # each word that the text lacks is an edit
-            edits, s, e = aligned(own, near)
-            if edits <= most:
-                found = (edits, low - int(starts[text]) + s, low - int(starts[text]) + e)
-                best[text, item] = min(best.get((text, item), found), found)
+            begins = self.likely(item, pairs[1, a:b], words)
+            if not len(begins):
+                continue
+            # places close together are looked at as one
+            cuts = np.flatnonzero(np.diff(begins) > most) + 1
+            for first, last in zip(begins[np.append(0, cuts)].tolist(), begins[np.append(cuts, len(begins)) - 1].tolist(), strict=True):
+                # a place may reach over texts that are shorter than the edits allowed
+                low = int(np.searchsorted(starts, max(first - most, 0), "right")) - 1
+                for text in range(max(low, 0), int(np.searchsorted(starts, last + len(own) + most, "left"))):
+                    if text >= len(starts) - 1:
+                        break
+                    begin = max(int(starts[text]), first - most)
+                    near = words[begin : min(int(starts[text + 1]) - 1, last + len(own) + most)]
+                    if len(near) < len(own) - most or np.isin(own, near).sum() < len(own) - most:
+                        continue  # each word that the text lacks is an edit
+                    edits, s, e = aligned(own, near)
+                    if edits <= most:
+                        place = (edits, begin - int(starts[text]) + s, begin - int(starts[text]) + e)
+                        best[text, item] = min(best.get((text, item), place), place)
         return [(t, i, s, e, edits) for (t, i), (edits, s, e) in sorted(best.items())]
 
 
