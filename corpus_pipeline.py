@@ -29,8 +29,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with ids, n_tokens and round_trip."""
-    return sentencepiece_tok.encoded(docs, check=True)
+    """The documents with ids, n_tokens, round_trip and same_ids."""
+    return sentencepiece_tok.encoded(docs, check=True, compare=True)
 
 
 STAGES = [

@@ -23,6 +23,36 @@ def test_sentencepiece_parity_and_round_trip(spark, odd_docs, no_docs):
     assert sentencepiece_tok.encoded(no_docs).count() == 0
 
 
+def test_sentencepiece_decodes_and_compares_every_row(spark, odd_docs, monkeypatch):
+    rows = sentencepiece_tok.encoded(odd_docs, check=True, compare=True).collect()
+    assert len(rows) == odd_docs.count() and all(r["round_trip"] and r["same_ids"] for r in rows)
+    of = sentencepiece_tok.codec(sentencepiece_tok.default_model())
+    assert of.same(["some text", "some text"], [of.encode(["some text"])[0], [5]]) == [True, False]
+    batch = sentencepiece_tok.pa.record_batch({"doc_id": [1], "text": ["some text"]})
+    # a decoder that differs is seen in the row, though the bytes of the ids are the text's
+    monkeypatch.setattr(sentencepiece_tok.Codec, "decode", lambda self, ids: ["other"] * len(ids))
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    run = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.update(f=f) or self)
+    sentencepiece_tok.encoded(docs, check=True, compare=True)
+    assert next(run["f"](iter([batch]))).to_pylist()[0]["round_trip"] is False
+
+
+def test_sentencepiece_unigram_parity(tmp_path):
+    import sentencepiece
+
+    rng = np.random.default_rng(1)
+    lines = [" ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 7))) for _ in range(12)) for _ in range(300)]
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_prefix=f"{tmp_path}/m", model_type="unigram", vocab_size=400, byte_fallback=True, normalization_rule_name="identity",
+        remove_extra_whitespaces=False, minloglevel=2,
+    )
+    texts = [*lines[:50], "", " ", "  two  spaces ", "中文 \n\t é", "aaaa" * 500]
+    assert sentencepiece_tok.parity(texts, f"{tmp_path}/m.model") == []
+    of = sentencepiece_tok.Codec(f"{tmp_path}/m.model")
+    assert of.decode(of.encode(texts)) == texts
+
+
 def test_token_counts_and_cache(spark, odd_docs, no_docs):
     import sentencepiece
 

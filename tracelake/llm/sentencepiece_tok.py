@@ -3,8 +3,8 @@
 The model file's protobuf is read here field by field; from it come the
 normaliser, the metaspace marker, the pieces with their scores (unigram models)
 or the merges those scores imply (BPE models), and the byte fallback. Texts are
-encoded in batches on several threads. `parity` compares with the sentencepiece
-library itself.
+encoded in batches on several threads. Ids are compared with those of the
+sentencepiece library itself.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -115,6 +115,7 @@ class Codec:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.model = parse(f.read())
+        self.path = path
         self.tokenizer = self._built()
         # the bytes that each id stands for
         self.bytes = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces], pa.large_binary())
@@ -170,7 +171,9 @@ class Codec:
         return [e.ids if t else [] for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
 
     def encoded(self, texts: list[str]) -> pa.ListArray:
-        found = self.encode(texts)
+        return self.listed(self.encode(texts))
+
+    def listed(self, found: list[list[int]]) -> pa.ListArray:
         ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))))
 
@@ -185,6 +188,17 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
+    @cached_property
+    def library(self):
+        """The model in the sentencepiece library."""
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=self.path)
+
+    def same(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether the sentencepiece library gives each text these ids."""
+        return [a == b for a, b in zip(ids, self.library.encode(texts, num_threads=1), strict=True)]
+
 
 def new_codec(path: str) -> Codec:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
@@ -197,15 +211,16 @@ def codec(path: str) -> Codec:
     return new_codec(path)
 
 
-def encoded(docs: DataFrame, model: str | None = None, text: str = "text", check: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, model: str | None = None, text: str = "text", check: bool = False, compare: bool = False) -> DataFrame:
     """`docs` with two more columns: ids (array<int>) and n_tokens (long), which
     replace columns of these names. No begin or end tokens; strings that look
     like special tokens are ordinary text. A null text counts as an empty one,
     which has no tokens. Rows, repeats and other columns stay as they are; an
     empty table gives an empty result. With `check`, a column round_trip tells
-    whether the bytes that the ids spell are the text's."""
+    whether the decoder gives the text again from the ids; with `compare`, a
+    column same_ids tells whether the sentencepiece library gives these ids."""
     path = model or default_model()
-    extra = ["ids", "n_tokens", *["round_trip"] * check]
+    extra = ["ids", "n_tokens", *["round_trip"] * check, *["same_ids"] * compare]
     rows = docs.drop(*extra)
     names = rows.columns
 
@@ -214,13 +229,16 @@ def encoded(docs: DataFrame, model: str | None = None, text: str = "text", check
         for batch in batches:
             for part in slices(batch, names.index(text), BATCH_BYTES):
                 texts = [t or "" for t in part.column(names.index(text)).to_pylist()]
-                ids = of.encoded(texts)
+                found = of.encode(texts)
+                ids = of.listed(found)
                 new = [ids, ids.value_lengths().cast(pa.int64())]
                 if check:
-                    new.append(pa.array([a.encode() == b for a, b in zip(texts, of.spelled(ids), strict=True)]))
+                    new.append(pa.array([a == b for a, b in zip(texts, of.decode(found), strict=True)], pa.bool_()))
+                if compare:
+                    new.append(pa.array(of.same(texts, found), pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*names, *extra])
 
-    return rows.mapInArrow(run, with_fields(rows, "ids array<int>, n_tokens long" + ", round_trip boolean" * check))
+    return rows.mapInArrow(run, with_fields(rows, "ids array<int>, n_tokens long" + ", round_trip boolean" * check + ", same_ids boolean" * compare))
 
 
 def decoded(rows: DataFrame, model: str | None = None, ids: str = "ids") -> DataFrame:
@@ -243,14 +261,12 @@ def decoded(rows: DataFrame, model: str | None = None, ids: str = "ids") -> Data
 
 def parity(texts: list[str], model: str | None = None) -> list[int]:
     """Places of the texts that the sentencepiece library encodes otherwise."""
-    import sentencepiece
-
-    path = model or default_model()
-    theirs = sentencepiece.SentencePieceProcessor(model_file=path).encode(texts, num_threads=1)
-    return [i for i, (a, b) in enumerate(zip(codec(path).encode(texts), theirs, strict=True)) if a != b]
+    of = codec(model or default_model())
+    return [i for i, same in enumerate(of.same(texts, of.encode(texts))) if not same]
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and round_trip (the decoded ids are the text again)."""
+    """doc_id, n_tokens, ids, round_trip (the decoded ids are the text again) and
+    same_ids (those of the sentencepiece library)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encoded(docs, check=True).select("doc_id", "n_tokens", "ids", "round_trip")
+    return encoded(docs, check=True, compare=True).select("doc_id", "n_tokens", "ids", "round_trip", "same_ids")
