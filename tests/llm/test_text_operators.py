@@ -264,6 +264,24 @@ def test_language_model(spark, odd_docs, no_docs):
     assert gru_lm.scored(odd_docs).count() == odd_docs.count() and gru_lm.scored(no_docs).count() == 0
 
 
+def test_language_model_trains_on_every_token(spark, monkeypatch):
+    """The tokens that the rounds read are those of all texts, each once."""
+    texts = [None, "", "a b", *(" ".join(f"w{k % 7}" for k in range(n)) for n in (100, 3000, 9000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = gru_lm.vocabulary_of(gru_lm.token_counts(docs))
+    read = []
+
+    def batches(self, run, schema):
+        found = list(run(iter([gru_lm.pa.record_batch({"text": gru_lm.pa.array(texts)})])))
+        read.extend(b.column(3)[0].as_py() for b in found)
+        return original(self, run, schema)
+
+    original = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", batches)
+    gru_lm.trained(docs, words)
+    assert sum(read) == words.n == sum(len(gru_lm.tokens_of(t)) + 1 for t in texts)
+
+
 def test_language_model_sums_to_one_and_gradients():
     counts = {w.encode(): c for w, c in zip("abcdefgh", range(9, 1, -1), strict=True)}
     words = gru_lm.Vocabulary(

@@ -8,8 +8,9 @@
    probability that the counts of all training documents give it. A token never
    seen has a share in its class, as in the base.
 3. The network is trained by truncated backpropagation in numpy: in rounds,
-   every partition trains a copy on a run of windows out of each of its
-   documents, and the copies' changes are averaged in Spark.
+   every partition trains a copy on the round's share of its documents, each
+   of them whole and in one of the rounds, so that every token is trained on
+   once; the copies' changes are averaged in Spark.
 4. Documents are scored whole, the state carried from window to window. Counts
    of rare words don't fit in a broadcast: they come by a join at the end.
 """
@@ -40,8 +41,8 @@ BROADCAST_WORDS = 200_000
 EMBED, HIDDEN = 24, 32
 #: Steps of truncated backpropagation, documents side by side, rounds.
 WINDOW, LANES, ROUNDS = 16, 256, 2
-#: Of each training document, the share of its bytes that training reads, and the least of it.
-TRAIN_SHARE, TRAIN_BYTES = 1 / 8, 128
+#: Tokens after which training starts a document's state anew, so that a long one keeps many lanes busy.
+TRAIN_RUN = 4096
 RATE = 0.02
 ADD = 0.1
 CHUNK = 4096
@@ -373,26 +374,18 @@ def train_on(net: Network, docs: list[np.ndarray], end: int, squares: np.ndarray
     return read
 
 
-def _run_of(text: str | None) -> list[bytes]:
-    """The words of a document that training reads: whole words of a run of its
-    bytes, from a place chosen by the document's hash; the end if it's in the run."""
-    data = (text or "").encode().lower()
-    want = max(TRAIN_BYTES, round(len(data) * TRAIN_SHARE))
-    if want >= len(data):
-        return [*data.split(), END]
-    start = (zlib.crc32(data[:64]) + len(data)) % (len(data) - want + 1)
-    # white space before the run and after it, or else the word there is cut
-    words = data[start : start + want].split()
-    if start and not data[start - 1 : start].isspace() and not data[start : start + 1].isspace():
-        words = words[1:]
-    if start + want == len(data):
-        words.append(END)
-    elif not data[start + want : start + want + 1].isspace() and not data[start + want - 1 : start + want].isspace():
-        words = words[:-1]
-    return words
-
-
-def _trained_once(docs: DataFrame, words: Vocabulary, flat: np.ndarray) -> np.ndarray:
+def _round_of(text: str | None, rounds: int) -> int:
+    """The round that reads a text, all of it."""
+    return zlib.crc32((text or "").encode()) % rounds
+
+
+def _runs_of(text: str | None) -> list[list[bytes]]:
+    """All words of a document and its end, in runs of TRAIN_RUN at most."""
+    words = [*tokens_of(text), END]
+    return [words[i : i + TRAIN_RUN] for i in range(0, len(words), TRAIN_RUN)]
+
+
+def _trained_once(docs: DataFrame, words: Vocabulary, flat: np.ndarray, number: int, rounds: int) -> np.ndarray:
     """One round: each partition's changes, averaged by the tokens it read."""
     shared = docs.sparkSession.sparkContext.broadcast((words, flat))
 
@@ -404,10 +397,12 @@ def _trained_once(docs: DataFrame, words: Vocabulary, flat: np.ndarray) -> np.nd
         held, size = [], 0
         for batch in batches:
             for text in batch.column(0):
-                words = _run_of(text.as_py())
-                if words:
-                    held.append(lookup.symbols(words))
-                    size += len(words)
+                text = text.as_py()
+                if _round_of(text, rounds) != number:
+                    continue
+                for part in _runs_of(text):
+                    held.append(lookup.symbols(part))
+                    size += len(part)
                 if size >= TRAIN_TOKENS:
                     read += train_on(net, held, end, squares)
                     held, size = [], 0
@@ -442,8 +437,8 @@ def _trained_once(docs: DataFrame, words: Vocabulary, flat: np.ndarray) -> np.nd
 
 def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     flat = Network(words).flat
-    for _ in range(rounds):
-        flat = _trained_once(docs, words, flat)
+    for number in range(rounds):
+        flat = _trained_once(docs, words, flat, number, rounds)
     return flat
 
 
