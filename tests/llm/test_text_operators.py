@@ -1,4 +1,7 @@
 import hashlib
+import random
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -94,6 +97,57 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.scanned(odd_docs).count() == odd_docs.count() and licenses.scanned(no_docs).count() == 0
 
 
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def all_spans(of: licenses.Scanner, text: str) -> list[tuple[int, int, int, int]]:
+    """Every run of whole words within a notice's edits; of those that overlap the best."""
+    out, cuts = [], [0, *(i + 1 for i, x in enumerate(text) if x == " "), len(text) + 1]
+    for k, (notice, _, most) in enumerate(of.notices):
+        near, taken = [], []
+        for i, s in enumerate(cuts[:-1]):
+            for e in (c - 1 for c in cuts[i + 1 :]):
+                lacking = sum((Counter(notice) - Counter(text[s:e])).values())  # each is an edit
+                if abs(e - s - len(notice)) <= most and lacking <= most and re.findall(r"\d+", text[s:e]) == re.findall(r"\d+", notice):
+                    edits = distance(notice, text[s:e])
+                    if edits <= most:
+                        near.append((edits, s, e))
+        for edits, s, e in sorted(near):
+            if all(e <= a or b <= s for a, b, _ in taken):
+                taken.append((s, e, edits))
+        out += [(k, *x) for x in taken]
+    return sorted(out, key=lambda x: (x[1], x[0]))
+
+
+def test_licenses_against_all_runs_of_words():
+    """Thousands of random edits, and none within the bound is missed."""
+    of, rng, found = licenses.scanner(), random.Random(5), 0
+    fixed = ["capache licenbe version 2", "under t bundear the mit license", "under the mit license under the mit licence", "cc by nc cc by nc", ""]
+    for n in range(3000):
+        if n < len(fixed):
+            text = fixed[n]
+        else:
+            parts = []
+            for _ in range(rng.choice((1, 1, 2, 3))):
+                notice, _, most = rng.choice(of.notices)
+                x = list(notice)
+                for _ in range(rng.randint(0, most + 1)):
+                    at = rng.randrange(len(x))
+                    x[at : at + rng.choice((0, 1))] = rng.choice(("", rng.choice("abt 2"), rng.choice("abt ") + x[at]))
+                parts += ["".join(x), *rng.choices(("the", "under", "mit", "apache", "license", "x"), k=rng.randint(0, 3))]
+            text = " ".join(" ".join(parts).split())
+        want = all_spans(of, text)
+        found += len(want)
+        assert of.spans(text) == want, text
+    assert found > 2000
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href=x>Menu</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; title</h1><p>First   <b>bold
 text</b>.<p>Short.</p><form><p>Sign up</p></form><div><p>Third paragraph, which is long enough to matter &eacute;.</p></div></article>

@@ -4,13 +4,18 @@ The standard library's streaming parser turns a page into lines, one for each
 block of text, with the number of tags seen since the last line. The ratio of
 text to tags per line is smoothed with a Gaussian; lines above a threshold are
 clusters of content. Tags and names that mark menus, forms, adverts and the like
-leave out their blocks before that. The region is the smallest element that
-holds nearly all clustered text; all its remaining blocks are the main text.
+leave out their blocks before that; where names would leave out all of a page,
+tags and roles alone do. The region is the smallest element that holds nearly
+all clustered text; all its remaining blocks are the main text.
+
+A line knows the element it stands in, and an element the one around it, so a
+page takes time and memory in proportion to its length, however deep it is.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -46,35 +51,45 @@ CONTAINER = frozenset("article body center details div dl html main ol section t
 WHOLE = frozenset(["article", "main"])
 
 
+#: Why a block is left out: not at all, by a name of its class or id, by its tag or role.
+KEPT, BY_NAME, BY_TAG = 0, 1, 2
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags before it, whether it is left out, and the open elements."""
+    """Lines of a page: text, tags before it, why it is left out, and the container it stands in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, left out, hidden
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        #: open elements: tag, number of the nearest container, why left out, hidden
+        self.open: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
+        #: by a container's number the one around it; 0 is the page
+        self.around: list[int] = [0]
         self.whole: set[int] = set()
-        self.tags = self.elements = 0
+        #: open elements by tag, and open blocks, so that a search that would fail isn't made
+        self.count: Counter[str] = Counter()
+        self.tags = 0
 
     def flush(self) -> None:
         line = " ".join("".join(self.text).split())
         self.text = []
         if line:
-            if not (self.open and self.open[-1][2]):
-                self.lines.append((line, self.tags, tuple(x[1] for x in self.open if x[0] in CONTAINER)))
+            _, container, left_out, _ = self.open[-1] if self.open else ("", 0, KEPT, False)
+            self.lines.append((line, self.tags, left_out, container))
             self.tags = 0
 
-    def _named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in LEFT_OUT:
-            return not (tag == "header" and any(x[0] == "article" for x in self.open))
+            return KEPT if tag == "header" and self.count["article"] else BY_TAG
+        why = KEPT
         for name, value in attrs:
+            if name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+                return BY_TAG
             if name in ("class", "id") and tag not in ("html", "body", "article", "main") and value:
                 if NAMES.intersection(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())):
-                    return True
-            if name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+                    why = BY_NAME
+        return why
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -85,12 +100,19 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        above = self.open[-1] if self.open else ("", 0, False, False)
-        hidden = above[3] or tag in HIDDEN
-        self.elements += 1
-        if tag in WHOLE:
-            self.whole.add(self.elements)
-        self.open.append((tag, self.elements, above[2] or self._named(tag, attrs), hidden))
+        _, container, left_out, hidden = self.open[-1] if self.open else ("", 0, KEPT, False)
+        if tag in CONTAINER:
+            self.around.append(container)
+            container = len(self.around) - 1
+            if tag in WHOLE:
+                self.whole.add(container)
+        self.open.append((tag, container, max(left_out, self._left_out(tag, attrs)), hidden or tag in HIDDEN))
+        self.count[tag] += 1
+
+    def _close(self, at: int) -> None:
+        """The open element `at` ends, and those in it."""
+        self.count.subtract(x[0] for x in self.open[at:])
+        del self.open[at:]
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -99,10 +121,12 @@ class _Lines(HTMLParser):
 
     def _end_p(self, tag: str) -> None:
         """A block ends an open <p>; an item or cell ends the open one of its kind."""
+        if not self.count["p"] and not (tag in SAME_KIND and self.count[tag]):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             t = self.open[i][0]
             if t == "p" or t == tag and tag in SAME_KIND:
-                del self.open[i:]
+                self._close(i)
                 return
             if t in BLOCK:
                 return
@@ -111,9 +135,11 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
+                self._close(i)
                 return
             if self.open[i][0] in BLOCK and tag not in BLOCK:
                 return  # the end of an inline element that another block began
@@ -123,8 +149,7 @@ class _Lines(HTMLParser):
             self.text.append(data)
 
 
-def _lines(html: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], set[int]]:
-    """Lines of a page with the numbers of the containers around each; and which are articles."""
+def _lines(html: str) -> _Lines:
     cut = html.rfind("<")
     if cut >= 0 and ">" not in html[cut:] and re.match(r"<(?:[a-zA-Z/!?]|$)", html[cut:]):
         html = html[:cut]  # a tag that the page's end cuts off
@@ -132,7 +157,7 @@ def _lines(html: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], set[int]]
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines, parser.whole
+    return parser
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -145,28 +170,41 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """Blocks of the main text, one on each line; empty if there are none."""
-    lines, whole = _lines(html or "")
-    if not lines:
-        return ""
+    page = _lines(html or "")
+    for allowed in (KEPT, BY_NAME):
+        lines = [(text, tags, at) for text, tags, why, at in page.lines if why <= allowed]
+        if lines:
+            return "\n".join(_selected(lines, page, sigma))
+    return ""
+
+
+def _selected(lines: list[tuple[str, int, int]], page: _Lines, sigma: float) -> list[str]:
+    """The lines of the region. A container's number is larger than those around it."""
     sizes = np.array([len(t) for t, _, _ in lines], float)
     ratios = smoothed(sizes / np.maximum(1, [tags for _, tags, _ in lines]), sigma)
     content = ratios >= 0.5 * ratios.mean()
-    held: dict[int, float] = {}
-    for (_, _, path), size, chosen in zip(lines, sizes, content, strict=True):
-        if chosen:
-            for element in path:
-                held[element] = held.get(element, 0.0) + size
-    need, region = REGION * float(sizes[content].sum()), 0
-    for element in sorted(held):  # an element's number is larger than those around it
-        if held[element] >= need:
-            region = element
+    around, held, count = page.around, np.zeros(len(page.around)), np.zeros(len(page.around), np.int64)
+    for (_, _, at), size, chosen in zip(lines, sizes, content, strict=True):
+        held[at] += size * chosen
+        count[at] += 1
+    for element in range(len(around) - 1, 0, -1):  # what is in a container is in the one around it
+        held[around[element]] += held[element]
+        count[around[element]] += count[element]
+    region = int(np.flatnonzero(held >= REGION * float(sizes[content].sum()))[-1])
     # One block that holds nearly everything stands for the element around it,
-    # and a part of an article for the article.
-    around = next((path for _, _, path in lines if region in path), ())
-    if region and sum(region in path for _, _, path in lines) == 1:
-        region = around[max(0, around.index(region) - 1)]
-    region = next((e for e in around if e in whole and e <= region), region)
-    return "\n".join(t for t, _, path in lines if not region or region in path)
+    # and a part of an article for the article: the outermost one.
+    if region and count[region] == 1:
+        region = around[region] or region
+    element = region
+    while element:
+        if element in page.whole:
+            region = element
+        element = around[element]
+    inside = np.zeros(len(around), bool)
+    inside[region] = True
+    for element in range(region + 1, len(around)):
+        inside[element] = inside[around[element]]
+    return [text for text, _, at in lines if inside[at] or not region]
 
 
 def extracted(pages: DataFrame, sigma: float = 1.0) -> DataFrame:

@@ -2,13 +2,16 @@
 
 A notice of n letters may be met with k edits. Cut into k + 1 pieces, at least
 one piece of it is then intact (pigeonhole), so exact search for the pieces
-finds every candidate place; the regex library's bounded-error matching
-verifies each and gives the span and its edits. Numbers (versions) must be
-intact. Notices of the base list are also counted exactly, at every place.
+finds every candidate place. Around each, every run of whole words that begins
+and ends where k edits allow is verified by the regex library's bounded-error
+matching, which gives its edits. Numbers (versions) must be intact. Of spans of
+a notice that overlap, that with the fewest edits stays, then the first, then
+the shortest. Notices of the base list are also counted exactly, at every place.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -69,37 +72,48 @@ class Scanner:
         for piece, at in seeds.items():
             self.seeds.add_word(piece, (len(piece), at))
         self.seeds.make_automaton()
-        self.fuzzy = [regex.compile(f"(?<![^ ])(?:{regex.escape(n)}){{e<={e}}}(?![^ ])", regex.BESTMATCH) for n, _, e in self.notices]
+        #: by notice, a pattern for each number of edits from none
+        self.fuzzy = [[regex.compile(f"(?:{regex.escape(n)}){{e<={i}}}") for i in range(e + 1)] for n, _, e in self.notices]
+
+    def edits_of(self, k: int, text: str) -> int | None:
+        """Edits that turn the text into notice k; None beyond its bound, or if its numbers differ."""
+        notice, _, edits = self.notices[k]
+        if text == notice:
+            return 0
+        if not edits or abs(len(text) - len(notice)) > edits or not self.fuzzy[k][edits].fullmatch(text) or self._numbers(text) != self._numbers(notice):
+            return None
+        return next(i for i in range(1, edits + 1) if i == edits or self.fuzzy[k][i].fullmatch(text))
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, edits) in a text of words with single spaces,
-        in order; one span for each place and notice."""
-        found: dict[tuple[int, int], tuple[int, int]] = {}
-        tried: dict[int, int] = {}
+        """(notice, start, end, edits) in a text of words with single spaces, in order."""
+        found: dict[tuple[int, int, int], int | None] = {}
         for last, (size, at) in self.seeds.iter(text):
             for k, offset in at:
                 notice, _, edits = self.notices[k]
                 start = last + 1 - size - offset
-                if start >= 0 and text.startswith(notice, start) and self._whole(text, start, start + len(notice)):
-                    found[k, start] = (start + len(notice), 0)
-                    continue
-                if not edits or tried.get(k, -(1 << 60)) >= start:
-                    continue
-                low, high = max(0, start - edits), start + len(notice) + edits
-                tried[k] = start
-                m = self.fuzzy[k].search(text, low, high + 1)  # and the space after it
-                if m and self._whole(text, m.start(), m.end()) and self._numbers(m.group()) == self._numbers(notice):
-                    found.setdefault((k, m.start()), (m.end(), sum(m.fuzzy_counts)))
-        out: list[tuple[int, int, int, int]] = []
-        # exact places first; a fuzzy one must not lie over one already there
-        for (k, start), (end, edits) in sorted(found.items(), key=lambda x: (x[1][1], x[0][1], x[0][0])):
-            if edits == 0 or not any(o[0] == k and o[1] < end and start < o[2] for o in out):
-                out.append((k, start, end, edits))
-        return sorted(out, key=lambda x: (x[1], x[0]))
+                end = start + len(notice)
+                if self._whole(text, start, end) and text.startswith(notice, start):
+                    found[k, start, end] = 0
+                elif edits:
+                    # whole words around the piece, as far as the edits allow
+                    ends = [i for i in range(max(last + 1, end - edits), min(end + edits, len(text)) + 1) if i == len(text) or text[i] == " "]
+                    for s in range(max(0, start - edits), min(last + 1 - size, start + edits) + 1) if ends else ():
+                        if s and text[s - 1] != " ":
+                            continue
+                        for e in ends:
+                            if (k, s, e) not in found:
+                                found[k, s, e] = self.edits_of(k, text[s:e])
+        taken: list[list[tuple[int, int, int]]] = [[] for _ in self.notices]
+        for edits, start, end, k in sorted((n, s, e, k) for (k, s, e), n in found.items() if n is not None):
+            held = taken[k]  # in order, none over another
+            i = bisect.bisect_left(held, (start,))
+            if (i == 0 or held[i - 1][1] <= start) and (i == len(held) or end <= held[i][0]):
+                held.insert(i, (start, end, edits))
+        return sorted(((k, *x) for k, held in enumerate(taken) for x in held), key=lambda x: (x[1], x[0]))
 
     @staticmethod
     def _whole(text: str, start: int, end: int) -> bool:
-        return (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " ")
+        return 0 <= start and end <= len(text) and (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " ")
 
     @staticmethod
     def _numbers(text: str) -> list[str]:
