@@ -2,7 +2,8 @@
 
 Alternating large-star and small-star rounds: each needs a minimum per vertex
 (pre-aggregated before its shuffle) and a join that carries it back to the
-vertex's links, so a vertex with very many links is never gathered in one task.
+vertex's links. The vertices with the most links, a bounded number, are joined by
+broadcast, so a vertex with very many links is never gathered in one task.
 The links shrink towards stars and are written to the shared folder each round.
 """
 
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import new_path, removed
+from tracelake.operators.joins import joined
+from tracelake.shared import new_path, removed
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -26,14 +28,14 @@ def _signature(links: DataFrame) -> tuple:
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a vertex is linked to its smallest one."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")).withColumn("low", F.least("a", "low"))
+    return joined(both, least, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A vertex and its smaller neighbours are linked to the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("low"))
-    moved = links.join(least, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    least = links.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
+    moved = joined(links, least, "a", "n").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.components import components
 from tracelake.operators.joins import within_time_pairs
 from tracelake.operators.latest import first_per_key
 
@@ -29,33 +30,10 @@ def incremental(pairs: DataFrame, new_ids: DataFrame) -> DataFrame:
     return pairs.join(a, "a_id", "left").join(b, "b_id", "left").where("_a OR _b").drop("_a", "_b")
 
 
-def grouped(rows: DataFrame, ident: str, pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, root): the smallest id over the links of the pairs. Each round takes
-    the least label of a vertex and its neighbours, then the label's own label,
-    so a path of n vertices needs about log n rounds. The labels go to a
-    checkpoint each round."""
-    both = pairs.select("a_id", "b_id").union(pairs.select("b_id", "a_id")).toDF("id", "other").distinct()
-    labels = both.select("id").distinct().withColumn("root", F.least("id", F.col("id")))
-    for _ in range(rounds):
-        seen = both.join(labels.select(F.col("id").alias("other"), F.col("root").alias("seen")), "other").groupBy("id").agg(F.min("seen").alias("seen"))
-        near = labels.join(seen, "id").select("id", "root", F.least("root", "seen").alias("near"))
-        up = labels.select(F.col("id").alias("near"), F.col("root").alias("up"))
-        after = near.join(up, "near", "left").select("id", F.col("root").alias("before"), F.least("near", F.coalesce("up", "near")).alias("root"))
-        after = _kept(after)
-        if after.where("root <> before").isEmpty():
-            break
-        labels = after.select("id", "root")
-    return rows.select(F.col(ident).alias("id")).distinct().join(labels, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """`df` behind a checkpoint in the folder that spark.checkpoint.dir names."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracelake-"))
-    return df.checkpoint()
+def grouped(rows: DataFrame, ident: str, pairs: DataFrame) -> DataFrame:
+    """(id, root): the smallest id over the links of the pairs, which are longs."""
+    roots = components(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).withColumnRenamed("vertex", "id")
+    return rows.select(F.col(ident).alias("id")).distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def winners(rows: DataFrame, group: str, order: list[Column], fill: list[str]) -> DataFrame:

@@ -9,27 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.consolidate import _kept
+from tracelake.shared import checkpointed
 
 
-def placed(parents: DataFrame, rounds: int = 40) -> DataFrame:
+def placed(parents: DataFrame) -> DataFrame:
     """(id, root, depth, cyclic) from (id, parent), one row per id, the parent of
     a top null. A parent that is no id itself counts as a top. Vertices on or
     under a cycle have a null root and depth."""
     known = parents.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))
     rows = parents.select("id", "parent").join(known, "parent", "left")
     at = rows.select("id", F.when(F.col("_known"), F.col("parent")).alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("parent", "id").alias("root"))
-    at = _kept(at)
-    for _ in range(rounds):
-        if at.where("up IS NOT NULL").isEmpty():
-            break
+    at = checkpointed(at)
+    above = at.where("up IS NOT NULL").count()
+    while above:
         higher = at.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("root").alias("_root"))
         after = at.join(higher, "up", "left").select("id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce("_root", "root").alias("root"))
-        after = _kept(after)
-        # only cycles keep as many vertices with an ancestor as before, twice as far up
-        if after.where("up IS NOT NULL").count() == at.where("up IS NOT NULL").count():
-            at = after
-            break
-        at = after
+        after = checkpointed(after)
+        before, above, at = above, after.where("up IS NOT NULL").count(), after
+        if above == before:
+            break  # only cycles keep as many vertices with an ancestor as before, twice as far up
     cyclic = F.col("up").isNotNull()
     return at.select("id", F.when(~cyclic, F.col("root")).alias("root"), F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))

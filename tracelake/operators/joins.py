@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
 
 
+#: Keys that are joined by broadcast, at most.
+HOT_KEYS = 5000
+
+
+def joined(rows: DataFrame, values: DataFrame, key: str, count: str) -> DataFrame:
+    """`rows.join(values, key)`, where `values` has one row for each key and in
+    `count` how many of `rows` have it, which is left out of the result. Keys
+    that more than one in HOT_KEYS of the rows have, so fewer than HOT_KEYS of
+    them, are sent to all tasks: no task gathers a hot key's rows."""
+    total = values.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col(count) > max(100, total // HOT_KEYS)
+    few, rest = values.where(hot).drop(count), values.where(~hot).drop(count)
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(others.join(rest, key))
+
+
 def within_time_pairs(df: DataFrame, keys: list[str], ts: str, seconds: int, ident: str) -> DataFrame:
     """Pairs (a_id < b_id) with equal keys at most so many seconds apart: each row
     is filed under its time bucket and looks into its own and the two beside it."""
@@ -57,7 +73,9 @@ def nearest_in_time(probes: DataFrame, fixes: DataFrame, keys: list[str], ts: st
     # at one instant, fixes count as before
     w = Window.partitionBy(*keys).orderBy(ts, "_probe")
     before = F.last("_fix", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_fix", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # what comes next, as the last one of the other direction: its frame only grows
+    back = Window.partitionBy(*keys).orderBy(F.desc(ts), F.desc("_probe"))
+    after = F.last("_fix", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     away = lambda x: F.abs(F.unix_micros(x["at"].cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")))
     rows = both.withColumns({"_before": before, "_after": after}).where("_probe")
     best = F.when(F.col("_before").isNull(), F.col("_after")).when(F.col("_after").isNull() | (away(F.col("_before")) <= away(F.col("_after"))), F.col("_before")).otherwise(F.col("_after"))
@@ -67,19 +85,31 @@ def nearest_in_time(probes: DataFrame, fixes: DataFrame, keys: list[str], ts: st
     return near.select(*probes.columns, *[F.col(f"_best.{c}").alias(f"near_{c}") for c in columns], F.col("_best.at").alias("near_at"))
 
 
-def similar_names(left: DataFrame, right: DataFrame, ident: str, name: str, least: float = 0.55, block: Column | None = None) -> DataFrame:
+def similar_names(left: DataFrame, right: DataFrame, ident: str, name: str, least: float = 0.55) -> DataFrame:
     """Pairs of rows of two tables whose names' trigram similarity is at least
-    `least`: (a_id, b_id, score). Prefix filter: with the trigrams of a set in one
-    order, similar sets share one among the first few of each."""
-    def grams(df: DataFrame, as_id: str) -> DataFrame:
-        g = F.array_sort(T.trigrams(T.match_key(F.col(name))))
-        rows = df.select(F.col(ident).alias(as_id), g.alias(f"{as_id}_g")).where(F.size(f"{as_id}_g") > 0)
-        few = F.size(f"{as_id}_g") - F.ceil(F.size(f"{as_id}_g") * F.lit(least)) + 1
-        return rows.withColumn("gram", F.explode(F.slice(f"{as_id}_g", F.lit(1), few.cast("int"))))
-
-    score = T.jaccard(F.col("a_id_g"), F.col("b_id_g"))
-    met = grams(left, "a_id").join(grams(right, "b_id"), "gram").withColumn("score", score).where(F.col("score") >= least)
-    return met.groupBy("a_id", "b_id").agg(F.max("score").alias("score"))
+    `least`: (a_id, b_id, score). Prefix filter: with the trigrams of every set in
+    one order, the rarest first, similar sets share one among the first few of
+    each. Only names of a length that allows the similarity meet."""
+    def each(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(ident).alias("id"), T.trigrams(T.match_key(F.col(name))).alias("g"))
+        return rows.select("id", F.explode(F.array_distinct("g")).alias("gram"))
+
+    a = each(left)
+    b = a if left is right else each(right)
+    often = (a if left is right else a.unionByName(b)).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefixes(rows: DataFrame, side: str) -> DataFrame:
+        ranked = joined(rows, often.withColumn("met", F.col("n")), "gram", "met")
+        sets = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("g"))
+        few = F.size("g") - F.ceil(F.size("g") * F.lit(least)) + 1
+        return sets.select(F.col("id").alias(f"{side}_id"), F.col("g").alias(f"{side}_g"), F.explode(F.slice("g", F.lit(1), few.cast("int"))).alias("gram"))
+
+    score = T.jaccard(F.col("a_g"), F.col("b_g"))
+    sizes = F.least(F.size("a_g"), F.size("b_g")) >= least * F.greatest(F.size("a_g"), F.size("b_g"))
+    met = prefixes(a, "a").join(prefixes(b, "b"), "gram").where(sizes)
+    if left is right:
+        met = met.where("a_id < b_id")  # of a table with itself each pair once, and no row with itself
+    return met.withColumn("score", score).where(F.col("score") >= least).groupBy("a_id", "b_id").agg(F.max("score").alias("score"))
 
 
 def contained_names(df: DataFrame, ident: str, name: str, kind: str, least: int = 2) -> DataFrame:
@@ -96,11 +126,11 @@ def contained_names(df: DataFrame, ident: str, name: str, kind: str, least: int
 
 
 def pairs_in_groups(df: DataFrame, group: str, member: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of members that meet in a group, with the number of groups and their
-    ids, from groups of at most `most` distinct members; and the larger groups."""
+    """Pairs of members that meet in a group, with the number of groups and the
+    first of them, from groups of at most `most` distinct members; and the larger groups."""
     members = df.select(group, member).where(F.col(member).isNotNull()).distinct()
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
     few = members.join(sizes.where(F.col("size").between(2, most)), group)
     a, b = few.select(group, F.col(member).alias("a")), few.select(group, F.col(member).alias("b"))
-    pairs = a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("groups"), F.array_sort(F.collect_set(group)).alias("group_ids"))
+    pairs = a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("groups"), F.min(group).alias("first_group"))
     return pairs, sizes.where(F.col("size") > most)

@@ -189,7 +189,7 @@ def j12_contained_names(spark, d):
 def j13_similar_names(spark, d):
     """Pairs of different part names with a trigram similarity of 0.55 or more."""
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("id", F.col("name"))
-    return joins.similar_names(names, names, "id", "name").where("a_id < b_id").select("a_id", "b_id", F.round("score", 6).alias("score"))
+    return joins.similar_names(names, names, "id", "name").select("a_id", "b_id", F.round("score", 6).alias("score"))
 
 
 def u1_vertices(spark, d):

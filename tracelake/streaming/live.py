@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators import rules
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, which all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tracelake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tracelake.shared import new_path
 
 
 def stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
@@ -27,21 +16,18 @@ def stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
 
 
 def ingested(rows: DataFrame, target: str, keys: list[str], checkpoint: str, filters: list[rules.Rule] | None = None, payload: str = "payload"):
-    """Writes what a stream brings and `target` lacks, first of each key, after the
-    rules. A batch that is run again writes to the folder of its number once
-    more, so a lost executor or driver leaves no row twice."""
-    spark = rows.sparkSession
-    schema = rows.schema
+    """Writes what a stream brings and brought not before, one row of each key,
+    after the rules. The keys seen are the stream's state, so a batch costs as
+    much as its rows, however many came before. A batch that is run again writes
+    to the folder of its number once more, so a lost executor or driver leaves no
+    row twice."""
+    kept = rows if not filters else rules.filtered(rows, filters, payload=payload)[0]
 
     def write(batch: DataFrame, number: int) -> None:
-        kept = batch if not filters else rules.filtered(batch, filters, payload=payload)[0]
-        new = kept.dropDuplicates(keys)
-        if number:
-            seen = spark.read.schema(schema).option("basePath", target).parquet(*[f"{target}/batch={i}" for i in range(number)])
-            new = new.join(seen.select(*keys), keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = kept.dropDuplicates(keys)
+    return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed(rows: DataFrame, ts: str, keys: list[str], width: str, slide: str, late: str) -> DataFrame:
@@ -71,18 +57,18 @@ def supervised(start, tries: int = 10, first: float = 1.0, most: float = 60.0, w
 
 def t1_streamed(spark, d):
     """All events through a stream into a table, which holds each once."""
-    target = shared_path(spark, "ingested")
-    ingested(stream(spark, f"{d}/events.parquet"), target, ["event_id"], shared_path(spark, "state")).awaitTermination()
+    target = new_path(spark, "ingested")
+    ingested(stream(spark, f"{d}/events.parquet"), target, ["event_id"], new_path(spark, "state")).awaitTermination()
     return spark.read.parquet(target).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
 def t8_streamed_windows(spark, d):
     """Events per tumbling hour and type, by a stream with a watermark, in append mode:
     windows that the watermark has passed."""
-    out = shared_path(spark, "windows")
+    out = new_path(spark, "windows")
     rows = stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = windowed(rows, "ts", ["event_type"], "1 hour", "1 hour", "2 hours")
-    counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
