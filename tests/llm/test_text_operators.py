@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,7 @@ import pandas as pd
 import pytest
 
 from tracelake.llm import chat_format, common, decontaminate, gru_lm, html_text, licenses, sentencepiece_tok, token_cache, toxicity
+from tracelake.shared import new_path
 
 
 def texts_of(df):
@@ -59,7 +61,7 @@ def test_sentencepiece_unigram_parity(tmp_path):
 def test_token_counts_and_cache(spark, odd_docs, no_docs):
     import sentencepiece
 
-    path = common.new_path(spark, "cache")
+    path = new_path(spark, "cache")
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_tok.default_model())
     want = sorted((str(r["doc_id"]), len((r["text"] or "").encode()), len(library.encode(r["text"] or ""))) for r in odd_docs.collect())
     for _ in range(2):  # the second time all are in the cache
@@ -68,7 +70,7 @@ def test_token_counts_and_cache(spark, odd_docs, no_docs):
         assert all(r["over_limit"] == (r["n_tokens"] > 50) for r in got)
     cached = spark.read.parquet(path)
     assert cached.count() == cached.select("digest").distinct().count() == odd_docs.selectExpr("coalesce(text, '') AS t").distinct().count()
-    assert token_cache.token_counts(no_docs, common.new_path(spark, "cache")).count() == 0
+    assert token_cache.token_counts(no_docs, new_path(spark, "cache")).count() == 0
 
 
 def test_token_counts_of_a_json_tokenizer(spark):
@@ -77,7 +79,7 @@ def test_token_counts_of_a_json_tokenizer(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.createDataFrame([(1, "some plain words"), (2, None)], "doc_id long, text string")
-    got = {r["doc_id"]: r["n_tokens"] for r in token_cache.token_counts(docs, common.new_path(spark, "cache"), path).collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in token_cache.token_counts(docs, new_path(spark, "cache"), path).collect()}
     assert got == {1: len(Tokenizer.from_file(path).encode("some plain words", add_special_tokens=False).ids), 2: 0}
 
 
@@ -318,22 +320,33 @@ def test_language_model(spark, odd_docs, no_docs):
     assert gru_lm.scored(odd_docs).count() == odd_docs.count() and gru_lm.scored(no_docs).count() == 0
 
 
-def test_language_model_trains_on_every_token(spark, monkeypatch):
+def test_language_model_trains_on_every_token(spark):
     """The tokens that the rounds read are those of all texts, each once."""
     texts = [None, "", "a b", *(" ".join(f"w{k % 7}" for k in range(n)) for n in (100, 3000, 9000))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     words = gru_lm.vocabulary_of(gru_lm.token_counts(docs))
-    read = []
+    shared = spark.sparkContext.broadcast((words, gru_lm.Network(words).flat))
+    for rounds in (1, 2, 3):
+        changes = [gru_lm.changes_of(gru_lm.round_of(docs, k, rounds), shared, 2) for k in range(rounds)]
+        read = sum(r["read"] for c in changes for r in c.where("chunk = 0").collect())
+        assert read == words.n == sum(len(gru_lm.tokens_of(t)) + 1 for t in texts)
 
-    def batches(self, run, schema):
-        found = list(run(iter([gru_lm.pa.record_batch({"text": gru_lm.pa.array(texts)})])))
-        read.extend(b.column(3)[0].as_py() for b in found)
-        return original(self, run, schema)
 
-    original = type(docs).mapInArrow
-    monkeypatch.setattr(type(docs), "mapInArrow", batches)
-    gru_lm.trained(docs, words)
-    assert sum(read) == words.n == sum(len(gru_lm.tokens_of(t)) + 1 for t in texts)
+def test_language_model_on_the_table_dealt_otherwise(spark):
+    """The same documents in other partitions have the same scores; base and counts are those of plain SQL."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice([f"w{int(j)}" for j in rng.zipf(1.5, 40)], rng.integers(0, 200)))) for i in range(120)] + [(500, None), (501, "É é\tÉ  x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a = gru_lm.scored(docs.repartition(1)).toPandas().sort_values("doc_id", ignore_index=True)
+    b = gru_lm.scored(docs.repartition(5, "text")).toPandas().sort_values("doc_id", ignore_index=True)
+    assert np.allclose(a["score"], b["score"], rtol=1e-5) and a.drop(columns=["score", "base_score"]).equals(b.drop(columns=["score", "base_score"]))
+    train = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in [*gru_lm.tokens_of(t), b"\n"])
+    n, v = sum(train.values()), len(train)
+    for r, (i, t) in zip(a.to_dict("records"), sorted(rows), strict=True):
+        words = [*gru_lm.tokens_of(t), b"\n"]
+        want = sum(np.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
+        assert (r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i, len(words), sum(w in train for w in words), n)
+        assert r["base_score"] == pytest.approx(want, rel=1e-9) and r["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
 
 
 def test_language_model_sums_to_one_and_gradients():

@@ -8,9 +8,11 @@
    probability that the counts of all training documents give it. A token never
    seen has a share in its class, as in the base.
 3. The network is trained by truncated backpropagation in numpy: in rounds,
-   every partition trains a copy on the round's share of its documents, each
-   of them whole and in one of the rounds, so that every token is trained on
-   once; the copies' changes are averaged in Spark.
+   every shard trains a copy on its documents, each of them whole and in one
+   shard of one of the rounds, so that every token is trained on once; the
+   copies' changes are averaged in Spark. Rounds and shards are hashes of the
+   documents, in numbers that grow with the corpus, so that the same documents
+   dealt otherwise train the same network.
 4. Documents are scored whole, the state carried from window to window. Counts
    of rare words don't fit in a broadcast: they come by a join at the end.
 """
@@ -27,10 +29,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import in_fold, resized, table, written
+from tracelake.llm.common import in_fold, one_thread, resized, table
+from tracelake.shared import written
 
 #: The end of a document as a token: no word holds a line break.
 END = b"\n"
@@ -39,8 +43,10 @@ OWN_WORDS, OWN_CLASSES, ENDING_CLASSES = 4095, 64, 128
 #: Words whose counts are broadcast at most, a bound on what is sent to each worker.
 BROADCAST_WORDS = 200_000
 EMBED, HIDDEN = 24, 32
-#: Steps of truncated backpropagation, documents side by side, rounds.
-WINDOW, LANES, ROUNDS = 16, 256, 2
+#: Steps of truncated backpropagation, documents side by side.
+WINDOW, LANES = 16, 256
+#: Tokens of a shard, on average at most.
+SHARD_TOKENS = 2_000_000
 #: Tokens after which training starts a document's state anew, so that a long one keeps many lanes busy.
 TRAIN_RUN = 4096
 RATE = 0.02
@@ -111,11 +117,16 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
     # The most frequent ones without a sort: counts in steps of a 32nd of a
-    # power of two, as many of the highest steps as the bound allows whole.
-    step = F.floor(F.log2("c") * 32)
+    # power of two, as many of the highest steps as the bound allows whole, and
+    # of the next one the words with the smallest hashes.
+    step, share = F.floor(F.log2("c") * 32), F.pmod(F.xxhash64("token"), F.lit(1 << 20))
     sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("step", ascending=False)
-    sizes = sizes[sizes["n"].cumsum() <= BROADCAST_WORDS]
-    top = counts.where(step >= (int(sizes["step"].min()) if len(sizes) else 1 << 20)).toPandas().sort_values(["c", "token"], ascending=[False, True])
+    whole = int((sizes["n"].cumsum() <= BROADCAST_WORDS).sum())
+    chosen = step >= (int(sizes["step"].iloc[whole - 1]) if whole else 1 << 20)
+    if whole < len(sizes):
+        room = (BROADCAST_WORDS - int(sizes["n"].iloc[:whole].sum())) / int(sizes["n"].iloc[whole])
+        chosen |= (step == int(sizes["step"].iloc[whole])) & (share < int(0.98 * room * (1 << 20)))
+    top = counts.where(chosen).toPandas().sort_values(["c", "token"], ascending=[False, True])
     tokens, count = [t.encode() for t in top["token"]], top["c"].to_numpy(np.int64)
     own = min(len(tokens), OWN_WORDS)
     mass = np.cumsum(count[:own].astype(float))
@@ -374,22 +385,31 @@ def train_on(net: Network, docs: list[np.ndarray], end: int, squares: np.ndarray
     return read
 
 
-def _round_of(text: str | None, rounds: int) -> int:
-    """The round that reads a text, all of it."""
-    return zlib.crc32((text or "").encode()) % rounds
-
-
 def _runs_of(text: str | None) -> list[list[bytes]]:
     """All words of a document and its end, in runs of TRAIN_RUN at most."""
     words = [*tokens_of(text), END]
     return [words[i : i + TRAIN_RUN] for i in range(0, len(words), TRAIN_RUN)]
 
 
-def _trained_once(docs: DataFrame, words: Vocabulary, flat: np.ndarray, number: int, rounds: int) -> np.ndarray:
-    """One round: each partition's changes, averaged by the tokens it read."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, flat))
+def rounds_of(tokens: int) -> int:
+    """Rounds of training: one more for each tenfold of the tokens, beyond a million."""
+    return max(2, len(str(tokens)) - 5)
+
+
+def round_of(docs: DataFrame, number: int, rounds: int) -> DataFrame:
+    """The documents of a round, with the hash that deals them to its shards."""
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("deal"))
+    return docs.where(F.pmod(F.xxhash64("deal"), F.lit(rounds)) == number)
+
+
+CHANGES = "chunk int, shard int, change binary, read long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+
+def changes_of(docs: DataFrame, shared: Broadcast, shards: int) -> DataFrame:
+    """What each shard's documents change in the shared network, times the tokens read, in chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         words, flat = shared.value
         net, lookup, read = Network(words, flat), Lookup(words), 0
         squares = np.full_like(net.flat, 1e-6)
@@ -397,10 +417,7 @@ def _trained_once(docs: DataFrame, words: Vocabulary, flat: np.ndarray, number:
         held, size = [], 0
         for batch in batches:
             for text in batch.column(0):
-                text = text.as_py()
-                if _round_of(text, rounds) != number:
-                    continue
-                for part in _runs_of(text):
+                for part in _runs_of(text.as_py()):
                     held.append(lookup.symbols(part))
                     size += len(part)
                 if size >= TRAIN_TOKENS:
@@ -411,34 +428,41 @@ def _trained_once(docs: DataFrame, words: Vocabulary, flat: np.ndarray, number:
         if read:
             change = (net.flat - flat) * read
             chunks = [change[i : i + CHUNK].tobytes() for i in range(0, len(change), CHUNK)]
-            salt = int(zlib.crc32(chunks[0])) % (1 << 16)
+            n, shard = len(chunks), TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(chunks)), pa.int32()), pa.array([salt] * len(chunks), pa.int32()), pa.array(chunks, pa.binary()), pa.array([read] * len(chunks), pa.int64())],
-                ["chunk", "salt", "change", "read"],
+                [pa.array(range(n), pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(chunks, pa.binary()), pa.array([read] * n, pa.int64())], ["chunk", "shard", "change", "read"]
             )
 
-    changes = docs.select(F.col("text").cast("string")).mapInArrow(run, "chunk int, salt int, change binary, read long")
+    # a shard's documents in an order of their own, whatever the table's is
+    dealt = docs.repartition(shards, "deal").sortWithinPartitions("deal", "doc_id", "text")
+    return dealt.select("text").mapInArrow(run, CHANGES)
+
+
+def averaged(changes: DataFrame, shards: int) -> np.ndarray | None:
+    """The mean change by the tokens read; None if there were none."""
 
     def added(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("shard")
         total = sum(np.frombuffer(c, np.float32).astype(np.float64) for c in f["change"])
-        return pd.DataFrame({"chunk": f["chunk"].iloc[:1], "salt": 0, "change": [total.astype(np.float32).tobytes()], "read": [int(f["read"].sum())]})
+        return pd.DataFrame({"chunk": f["chunk"].iloc[:1], "shard": f["shard"].iloc[:1], "change": [total.astype(np.float32).tobytes()], "read": [int(f["read"].sum())]})
 
     # In two levels, so that a group holds few of the copies, however many there are.
-    copies = max(1, docs.rdd.getNumPartitions())
-    groups = max(1, round(copies**0.5))
-    schema = "chunk int, salt int, change binary, read long"
-    first = changes.withColumn("salt", F.col("salt") % groups).groupBy("chunk", "salt").applyInPandas(added, schema)
-    total = first.groupBy("chunk").applyInPandas(added, schema).orderBy("chunk").collect()
-    if not total:
-        return flat
-    change = np.concatenate([np.frombuffer(r["change"], np.float32) for r in total])
-    return flat + change / total[0]["read"]
-
-
-def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    flat = Network(words).flat
+    groups = max(1, round(shards**0.5))
+    first = changes.groupBy("chunk", F.col("shard") % groups).applyInPandas(added, CHANGES)
+    total = first.groupBy("chunk").applyInPandas(added, CHANGES).orderBy("chunk").collect()
+    return np.concatenate([np.frombuffer(r["change"], np.float32) for r in total]) / total[0]["read"] if total else None
+
+
+def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
+    """Weights after all rounds over (doc_id, text)."""
+    rounds, flat = rounds_of(words.n), Network(words).flat
+    shards = max(1, -(-words.n // (rounds * SHARD_TOKENS)))
     for number in range(rounds):
-        flat = _trained_once(docs, words, flat, number, rounds)
+        shared = docs.sparkSession.sparkContext.broadcast((words, flat))
+        change = averaged(changes_of(round_of(docs, number, rounds), shared, shards), shards)
+        shared.unpersist()
+        if change is not None:
+            flat = flat + change
     return flat
 
 
@@ -512,6 +536,7 @@ def scored(docs: DataFrame, folds: int = 10) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((words, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         scorer = _Scorer(*shared.value)
         for part in resized(batches, 2, SCORE_BYTES):
             if part.num_rows:

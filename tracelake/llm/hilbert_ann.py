@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import table, written
+from tracelake.llm.common import one_thread, table
+from tracelake.shared import written
 
 #: Rotations, axes of a group, axes that are grouped at most, bits of an axis in a key.
 TURNS, AXES, MOST_AXES, BITS = 16, 4, 64, 10
@@ -162,6 +163,7 @@ def _fitted(classes: DataFrame, size: int, turns: int) -> tuple[int, np.ndarray,
     curves = Curves(size, turns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        one_thread()
         total = np.zeros(1 + size + 2 * curves.turn.shape[1])
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -183,6 +185,7 @@ def _entries(classes: DataFrame, curves: Curves, mean: np.ndarray, probes: int)
     shared = classes.sparkSession.sparkContext.broadcast((curves, mean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         curves, mean = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

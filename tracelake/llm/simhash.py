@@ -25,11 +25,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import released, table, written
-from tracelake.llm.components import components
+from tracelake.llm.common import released, table
+from tracelake.operators.components import components
+from tracelake.operators.joins import joined
+from tracelake.shared import written
 
 BITS = 64
 #: Rows of one block; a unit of work holds two blocks on average at most.
@@ -299,34 +301,38 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, tau: int = 4) -
     empty table gives an empty result.
     """
     of_docs = written(fingerprints(docs, words_per_shingle), "fingerprints")
-    distinct = written(of_docs.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(links(distinct, tau))
-    named = distinct.join(roots, distinct["fp"] == roots["vertex"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    component = named.join(lowest, "root").select("fp", "component_id")
-    return of_docs.join(component, "fp").select(
+    return joined(of_docs, _component_of(of_docs, tau), "fp", "n").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
 
 
+def _component_of(of_docs: DataFrame, tau: int) -> DataFrame:
+    """(fp, component_id, root, n) of each fingerprint among (doc_id, fp); root is
+    a number for its component, n the rows that have the fingerprint."""
+    distinct = written(of_docs.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
+    roots = components(links(distinct.select("fp"), tau))
+    named = distinct.join(roots, distinct["fp"] == roots["vertex"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    named = written(named, "named")
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    return written(joined(named, lowest, "root", "fps").select("fp", "component_id", "root", "n"), "components")
+
+
 def kept_documents(docs: DataFrame, words_per_shingle: int = 4, tau: int = 4) -> DataFrame:
     """One row of each component, with all columns of `docs`: that with the
-    smallest doc_id, a null one only where the component has no other, and the
-    smallest fingerprint among rows that share the id."""
-    marked = docs.withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_fp": fingerprint_column(words_per_shingle)(F.col("text").cast("string"))}
-    )
-    found = near_duplicates(docs, words_per_shingle, tau)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.conv("fingerprint", 16, -10).cast("long").alias("_fp"))
-    # all ids of one component are null: its rows are known by their fingerprint
-    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
-    keep = found.groupBy(group.alias("g")).agg(F.min(first).alias("row")).select("row._id", "row._fp")
-    # Only ids and fingerprints go through the search; the texts are shuffled once, by id.
-    return marked.join(keep, ["_id", "_fp"], "left_semi").dropDuplicates(["_id", "_fp"]).drop("_id", "_fp")
+    smallest doc_id, a null one only where the component has no other; among
+    rows that share the id the smallest fingerprint, then the smallest text."""
+    of_text = fingerprint_column(words_per_shingle)(F.col("text").cast("string"))
+    # Each text is fingerprinted once; only ids and fingerprints go through the search.
+    marked = written(docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_fp": of_text}), "marked")
+    of_docs = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp"))
+    found = joined(of_docs, _component_of(of_docs, tau), "fp", "n")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("fp").alias("_fp"))
+    keep = found.groupBy("root").agg(F.min(first).alias("row")).select("row._id", "row._fp")
+    one = F.row_number().over(Window.partitionBy("_id", "_fp").orderBy("text"))
+    rows = marked.join(keep, ["_id", "_fp"], "left_semi")
+    return rows.withColumn("_n", one).where("_n = 1").select(docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import new_path, slices, table, written
+from tracelake.llm.common import slices, table
 from tracelake.llm.sentencepiece_tok import default_model
+from tracelake.shared import new_path, written
 
 CACHE = "digest string, tokenizer string, n_tokens long"
 #: Bytes encoded at once (or one text), which bounds the memory of a batch.
@@ -84,12 +85,11 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer: str | None = None,
         rows = _cache(spark, cache_path).where(F.col("tokenizer") == this)
         return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
-    missing = (
-        docs.select(digest.alias("digest"), text.alias("text"))
-        .join(known().select("digest"), "digest", "left_anti")
-        .groupBy("digest")
-        .agg(F.first("text").alias("text"))
-    )
+    # Copies come together before anything is looked up: an anti-join would be
+    # pushed below the aggregation and carry every copy through its shuffle.
+    distinct = docs.select(digest.alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+    there = known().select("digest", F.lit(True).alias("there"))
+    missing = distinct.join(there, "digest", "left").where("there IS NULL").drop("there")
     new = _encoded(missing, tokenizer)
     new.select("digest", F.lit(this).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     rows = docs.select(F.col("doc_id").cast("long"), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
