@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -20,7 +21,7 @@ def test_sentencepiece_parity_and_round_trip(spark, odd_docs, no_docs):
     texts = texts_of(odd_docs) + ["  two  spaces ", "▁mark▁", "<0x0A>\n", "a" * 3000, "né́e ﬁ 𝔘", "\x00\x01"]
     assert sentencepiece_tok.parity(texts) == []
     codec = sentencepiece_tok.codec(sentencepiece_tok.default_model())
-    assert [b.decode() for b in codec.spelled(codec.encoded(texts))] == codec.decode(codec.encode(texts))
+    assert codec.plain and codec.encoded(texts).to_pylist() == codec.encode(texts) == codec.library.encode(texts)
     rows = sentencepiece_tok.encoded(odd_docs, check=True)
     assert rows.columns == [c for c in odd_docs.columns if c != "ids"] + ["ids", "n_tokens", "round_trip"]
     got = sentencepiece_tok.decoded(rows).collect()
@@ -28,6 +29,41 @@ def test_sentencepiece_parity_and_round_trip(spark, odd_docs, no_docs):
     assert sentencepiece_tok.encoded(no_docs).count() == 0
 
 
+def _message(*fields):
+    """A protobuf message of (number, value) fields."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+        else:
+            wire, body = (0, None) if isinstance(value, int) else (2, value)
+            size, tag, coded = value if wire == 0 else len(body), number << 3 | wire, b""
+            for x in (tag, size):
+                while x > 127:
+                    coded, x = coded + bytes([x & 127 | 128]), x >> 7
+                coded += bytes([x])
+            out += coded + (body or b"")
+    return out
+
+
+def test_sentencepiece_unigram_model(tmp_path):
+    """A unigram model put together by hand: its scores, marker and byte fallback give the library's ids."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256))]
+    words = ["▁", "▁the", "▁th", "e", "▁cat", "▁ca", "t", "s", "▁cats", "at", "c", "h", "a", "▁▁", "ing", "i", "n", "g"]
+    pieces += [(w, -1.0 - 0.37 * i, 1) for i, w in enumerate(words)]
+    for extra in (0, 1):
+        data = b"".join(_message((1, _message((1, p.encode()), (2, score), (3, kind)))) for p, score, kind in pieces)
+        data += _message((2, _message((3, 1), (35, 1)))) + _message((3, _message((1, b"identity"), (3, 1), (4, extra), (5, 1))))
+        path = tmp_path / f"unigram{extra}.model"
+        path.write_bytes(data)
+        codec = sentencepiece_tok.Codec(str(path))
+        assert codec.model.kind == sentencepiece_tok.UNIGRAM and codec.model.byte_fallback
+        texts = ["the cats", "  the  cat ", "", "catting theing", "dog é 中", "a\nb", "tttt  hehe", " "]
+        ids = codec.encoded(texts).to_pylist()
+        assert ids == codec.library.encode(texts)
+        assert codec.decode(ids) == codec.library.decode(ids)
+
+
 def test_sentencepiece_decodes_and_compares_every_row(spark, odd_docs, monkeypatch):
     rows = sentencepiece_tok.encoded(odd_docs, check=True, compare=True).collect()
     assert len(rows) == odd_docs.count() and all(r["round_trip"] and r["same_ids"] for r in rows)

@@ -3,7 +3,9 @@
 The model file's protobuf is read here field by field; from it come the
 normaliser, the metaspace marker, the pieces with their scores (unigram models)
 or the merges those scores imply (BPE models), and the byte fallback. Texts are
-encoded in batches on several threads. Ids are compared with those of the
+encoded in batches on several threads. Where no piece reaches over the start of
+a word, words are encoded one by one, and a worker keeps the ids of those it has
+met. Every row is decoded again, and its ids are compared with those of the
 sentencepiece library itself.
 """
 
@@ -28,7 +30,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes given to the library at once (or one text), which bounds the memory of a batch.
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 20
+#: Words whose ids a worker keeps at most.
+KEPT_WORDS = 600_000
 #: Threads that encode a batch in one task.
 THREADS = 2
 
@@ -117,8 +121,6 @@ class Codec:
             self.model = parse(f.read())
         self.path = path
         self.tokenizer = self._built()
-        # the bytes that each id stands for
-        self.bytes = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces], pa.large_binary())
 
     def _merges(self, ids: dict[str, int]) -> list[tuple[str, str]]:
         """Each way to put a piece together from two others, best score first."""
@@ -161,7 +163,9 @@ class Codec:
         self.by_word = all(MARK not in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER_DEFINED))
         if self.by_word:
             tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-        steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+        # The normaliser only puts markers for spaces and before a text: words can be told apart before it.
+        self.plain = self.by_word and m.escape_whitespaces and m.add_dummy_prefix and not m.charsmap and not m.remove_extra_whitespaces
+        steps = [decoders.ByteFallback(), decoders.Fuse(), decoders.Metaspace(MARK, "never")]
         if m.add_dummy_prefix:
             steps.append(decoders.Strip(" ", 1, 0))
         tokenizer.decoder = decoders.Sequence(steps)
@@ -171,19 +175,20 @@ class Codec:
         return [e.ids if t else [] for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
 
     def encoded(self, texts: list[str]) -> pa.ListArray:
-        return self.listed(self.encode(texts))
-
-    def listed(self, found: list[list[int]]) -> pa.ListArray:
+        if self.plain:
+            return self.words.encoded(texts)
+        found = self.encode(texts)
         ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))))
 
-    def spelled(self, ids: pa.ListArray) -> list[bytes]:
-        """The bytes that each row's ids spell, without the space put before a text."""
-        ends, parts = ids.offsets.to_numpy(), pc.take(self.bytes, ids.values)
-        at = np.frombuffer(parts.buffers()[1], np.int64)[ends]
-        data = memoryview(parts.buffers()[2] or b"")
-        skip = [int(self.model.add_dummy_prefix and a < b and data[a] == 32) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return [bytes(data[a + s : b]) for a, b, s in zip(at[:-1].tolist(), at[1:].tolist(), skip, strict=True)]
+    @staticmethod
+    def lists(ids: pa.ListArray) -> list[list[int]]:
+        flat, ends = ids.values.to_numpy().tolist(), ids.offsets.to_numpy().tolist()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    @cached_property
+    def words(self) -> WordIds:
+        return WordIds(self)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -200,6 +205,68 @@ class Codec:
         return [a == b for a, b in zip(ids, self.library.encode(texts, num_threads=1), strict=True)]
 
 
+class WordIds:
+    """Texts word by word: a word is a run of spaces and what follows it up to
+    the next one. Ids of words are kept from batch to batch."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        #: by id, whether its piece starts with a marker
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in codec.model.pieces])
+        self.reset()
+
+    def reset(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.ids, self.ends, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), 0
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Words with one space before them are encoded as texts of many words;
+        a piece that starts with a marker is then a word's first."""
+        new.sort(key=lambda w: w[1:2] in (b" ", b""))
+        usual = next((i for i, w in enumerate(new) if w[1:2] in (b" ", b"")), len(new))
+        step = max(1, usual // 64 + 1)
+        texts = [b"".join(new[i : min(i + step, usual)])[1:].decode() for i in range(0, usual, step)]
+        flat = np.fromiter(chain.from_iterable(self.codec.encode(texts)), np.int32)
+        sizes = np.diff(np.append(np.flatnonzero(self.begins[flat]), len(flat)))
+        rest = [self.codec.encode([w[1:].decode()])[0] if w.strip(b" ") else [t.id for t in self.codec.tokenizer.model.tokenize(MARK * len(w))] for w in new[usual:]]
+        flat = np.append(flat, np.array(list(chain.from_iterable(rest)), np.int32))
+        sizes = np.append(sizes, np.array([len(x) for x in rest], np.int64))
+        known, ends = len(self.number), self.used + np.cumsum(sizes)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        while known + len(new) >= len(self.ends):
+            self.ends = np.resize(self.ends, 2 * len(self.ends))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.ends[known + 1 : known + 1 + len(new)] = ends
+        self.used += len(flat)
+        self.number.update(zip(new, range(known, known + len(new)), strict=True))
+
+    def encoded(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text; none for an empty one."""
+        joined = pa.array([f" {t}" if t else "" for t in texts], pa.large_string())
+        joined = pc.replace_substring(joined, MARK, " ")  # to the normaliser they are the same
+        edges = np.frombuffer(joined.buffers()[1], np.int64)[: len(texts) + 1]
+        data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)[: edges[-1]]
+        space = data == 32
+        space[1:] &= ~space[:-1]  # the first of a run
+        space[edges[:-1][edges[:-1] < edges[1:]]] = True  # a text's first word, after one that ends in spaces
+        starts = np.flatnonzero(space)
+        ends = np.append(starts, len(data)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.number) > KEPT_WORDS:
+            self.reset()
+        new = [w for w in distinct if w not in self.number]
+        if new:
+            self._learn(new)
+        word = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        first, size = self.ends[word], self.ends[word + 1] - self.ends[word]
+        upto = np.cumsum(size)
+        at = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(first - (upto - size), size)
+        of_text = np.append(0, upto)[np.searchsorted(starts, edges)]
+        return pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), pa.array(self.ids[at]))
+
+
 def new_codec(path: str) -> Codec:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
     os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
@@ -229,8 +296,8 @@ def encoded(docs: DataFrame, model: str | None = None, text: str = "text", check
         for batch in batches:
             for part in slices(batch, names.index(text), BATCH_BYTES):
                 texts = [t or "" for t in part.column(names.index(text)).to_pylist()]
-                found = of.encode(texts)
-                ids = of.listed(found)
+                ids = of.encoded(texts)
+                found = of.lists(ids) if check or compare else []
                 new = [ids, ids.value_lengths().cast(pa.int64())]
                 if check:
                     new.append(pa.array([a == b for a, b in zip(texts, of.decode(found), strict=True)], pa.bool_()))
