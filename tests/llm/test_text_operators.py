@@ -247,6 +247,25 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_decontaminate_in_passes(spark):
+    """Passes one after another find what one pass does; items with the same text each give a row."""
+    rng = random.Random(2)
+    items = [(i, " ".join(rng.choices([f"q{k}" for k in range(300)], k=rng.randint(1, 40)))) for i in range(40)]
+    items += [(100 + i, items[i][1]) for i in range(5)]
+    docs = spark.createDataFrame([(i, f"before {t} after", "x") for i, t in items[:30]] + [(200, "nothing here", "x")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    assert one == sorted(map(tuple, decontaminate.leaks(docs, bench, pass_bytes=1000).collect()))
+    assert {(i, i) for i, _ in items[:30]} | {(i, 100 + i) for i in range(5)} <= {r[:2] for r in one}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench, pass_bytes=1000).collect()] == [200] == [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()]
+
+
+def test_decontaminate_words_beyond_ascii():
+    index = decontaminate.Index.of([1, 2, 3], ["one two three four five six", "今日は晴れです明日も", "naïve café déjà vu encore une"])
+    texts = ["so “one two”—three four\u00a0five… six!", "昨日と今日は晴れです明日もきっと", "NAÏVE café – déjà vu, encore «une»", "昨日の雨"]
+    assert [(t, i, e) for t, i, _, _, e in index.matches(decontaminate.pa.array(texts))] == [(0, 0, 0), (1, 1, 0), (2, 2, 0)]
+
+
 def test_edit_distance_matches_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(60):

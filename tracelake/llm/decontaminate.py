@@ -30,7 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import released, slices, table
+from tracelake.llm.common import released, slices, table, union
+from tracelake.shared import written
 
 #: Sizes of windows in words. An item uses the largest that fits it.
 SIZES = (32, 16, 12, 8, 4, 2, 1)
@@ -53,6 +54,10 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _KINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
 _IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+#: Characters beyond ASCII that part words, and those that are words by
+#: themselves, of scripts that put no spaces between words.
+_PARTS = r"[^\p{L}\p{N}\p{M}\x00-\x7F]+"
+_SINGLE = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 
 
 def stride(size: int) -> int:
@@ -70,9 +75,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of letters and digits, in lower case) of all
-    texts, each text's followed by a zero; and where each text's words start."""
+    """Hashes of the words (runs of letters and digits, in lower case; each
+    character of scripts without spaces) of all texts, each text's followed by a
+    zero; and where each text's words start."""
     texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    most = np.frombuffer(texts.buffers()[2] or b"\0", np.uint8).max(initial=0)
+    if most >= 0xC2:
+        texts = pc.replace_substring_regex(texts, _PARTS, " ")
+    if most >= 0xE0:  # those scripts' characters have three bytes or more
+        texts = pc.replace_substring_regex(texts, _SINGLE, r" \1 ")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
@@ -297,33 +308,45 @@ def aligned(item: np.ndarray, near: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(begin[end]), end
 
 
-def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """The items in blocks of PASS_BYTES at most, so that what is broadcast is bounded."""
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text, key): the usable items; key is the same for equal texts."""
+    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return rows.distinct().withColumn("key", F.xxhash64("text"))
+
+
+def _indexes(benchmark: DataFrame, pass_bytes: int) -> Iterator[Index]:
+    """The distinct texts of the items in blocks of `pass_bytes` at most, on average, by their key."""
+    rows = _items(benchmark).groupBy("key").agg(F.min("text").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-size // PASS_BYTES))
+    blocks = max(1, -(-size // pass_bytes))
     for block in range(blocks):
-        some = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        got = some.orderBy("item_id", "text").collect()
-        yield Index.of([r["item_id"] for r in got], [r["text"] for r in got])
+        some = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
+        got = some.orderBy("key").collect()
+        yield Index.of([r["key"] for r in got], [r["text"] for r in got])
 
 
-MATCH = "doc_id long, item_id long, first_word long, end_word long, edits int, item_words int"
+MATCH = "doc_id long, key long, first_word long, end_word long, edits int, item_words int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, first_word, end_word, edits, item_words): for each row
     of `docs` and item that it holds with edits in at most EDITS of the item's
     words, the place with the fewest edits, as words of the text from
     first_word up to end_word. Words are runs of letters and digits in lower
-    case. Null texts and texts without words hold nothing; items that are null
-    or without words are held by nothing. Repeated rows and null ids of
-    documents each give their rows; items with the same id and other texts count
-    as one id each. Other columns play no part. A large benchmark is taken in
-    passes over the documents, whose results are put together."""
+    case; of scripts that put no spaces between words, each character. An item
+    of a few words is held by every document with these words. Null texts and
+    texts without words hold nothing; items that are null or without words are
+    held by nothing. Repeated rows and null ids of documents each give their
+    rows; of several items with the same text each gives its rows, and items
+    with the same id and other texts count as one id each. Other columns play no
+    part. A large benchmark is taken in passes over the documents, one after
+    another: each one's finds are written before the next index is sent out."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = None
-    for index in _indexes(benchmark):
+    passes, last = [], None
+    for index in _indexes(benchmark, pass_bytes):
+        if last is not None:
+            passes.append(written(last[0], "leaks"))
+            last[1].unpersist()
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -337,7 +360,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(
                             [
                                 {
-                                    "doc_id": ids[t], "item_id": int(index.ids[i]), "first_word": s, "end_word": e, "edits": edits,
+                                    "doc_id": ids[t], "key": int(index.ids[i]), "first_word": s, "end_word": e, "edits": edits,
                                     "item_words": int(index.starts[i + 1] - index.starts[i] - 1),
                                 }
                                 for t, i, s, e, edits in found
@@ -345,21 +368,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             schema,
                         )
 
-        found = rows.mapInArrow(run, MATCH)
-        out = found if out is None else out.unionByName(found)
-    return out
+        last = rows.mapInArrow(run, MATCH), shared
+    found = union([*passes, last[0]])
+    return found.join(_items(benchmark).select("item_id", "key"), "key").select("doc_id", "item_id", "first_word", "end_word", "edits", "item_words")
 
 
 schema = pa.schema(
-    {"doc_id": pa.int64(), "item_id": pa.int64(), "first_word": pa.int64(), "end_word": pa.int64(), "edits": pa.int32(), "item_words": pa.int32()}
+    {"doc_id": pa.int64(), "key": pa.int64(), "first_word": pa.int64(), "end_word": pa.int64(), "edits": pa.int32(), "item_words": pa.int32()}
 )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold no item, all columns as they are."""
-    names = docs.columns
-    for index in _indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+def clean(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of `docs` that hold no item, all columns as they are. Of several
+    passes each one's rows are written before the next."""
+    names, last = docs.columns, None
+    for index in _indexes(benchmark, pass_bytes):
+        if last is not None:
+            docs = written(docs, "clean")
+            last.unpersist()
+        shared = last = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             released()
