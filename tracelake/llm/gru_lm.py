@@ -46,10 +46,10 @@ EMBED, HIDDEN = 24, 32
 #: Steps of truncated backpropagation, documents side by side.
 WINDOW, LANES = 16, 256
 #: Tokens of a shard, on average at most.
-SHARD_TOKENS = 2_000_000
-#: Tokens after which training starts a document's state anew, so that a long one keeps many lanes busy.
-TRAIN_RUN = 4096
-RATE = 0.02
+SHARD_TOKENS = 500_000
+#: Tokens after which training starts a document's state anew: runs of one length keep all lanes busy.
+TRAIN_RUN = 512
+RATE = 0.04
 ADD = 0.1
 CHUNK = 4096
 #: Bytes of text that are scored side by side, and tokens that training takes side by side.
