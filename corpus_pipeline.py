@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import decontaminate, sentencepiece_tok, simhash, toxicity
 from tracelake.llm.common import table
-from tracelake.shared import written
+from tracelake.shared import removed, written, written_so_far
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, on `documents`."""
+    """All stages, one after another, on `documents`. What a stage wrote for
+    itself, and its input, go once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        before = set(written_so_far()) - mine if k else set(written_so_far())
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
+        if k == len(STAGES) - 1:
+            return docs
+        docs = written(docs, f"pipeline-{name}")
+        path = written_so_far()[-1]
+        for old in set(written_so_far()) - before - {path}:
+            removed(spark, old)
+        mine = {path}
     return docs
