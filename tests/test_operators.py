@@ -93,6 +93,35 @@ def test_communities_and_modularity(spark):
     assert value == pytest.approx(2 * (6 / 12.4 - (6.2 / 12.4) ** 2), abs=1e-5)
 
 
+def test_louvain_against_label_propagation(spark):
+    """On noisy groups Louvain's modularity is no less; a piece that is too large is split again."""
+    import random
+
+    rng = random.Random(3)
+    edges = {(i, j): 1.0 + (i + j) % 3 for i in range(20) for j in range(i + 1, 20) if rng.random() < (0.8 if i // 5 == j // 5 else 0.08)}
+    rows = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a long, b long, weight double").cache()
+    found = graph.louvain(rows.selectExpr("a", "b", "weight", "0L AS part"))
+    value = lambda m: graph.modularity(rows, m).first()["modularity"]
+    assert value(found) >= value(graph.propagated(rows)) - 1e-9 and value(found) > 0.3
+
+
+def test_matched_is_greedy(spark):
+    import random
+
+    rng = random.Random(1)
+    groups = {g: set(rng.sample(range(30), rng.randint(1, 8))) for g in range(8)}
+    children = {c: set(rng.sample(range(30), rng.randint(1, 8))) for c in range(9)}
+    children[9] = groups[2]
+    pairs = sorted((-len(x & y) / len(x | y), g, c) for g, x in groups.items() for c, y in children.items() if len(x & y) / len(x | y) >= 0.2)
+    want, used = {}, set()
+    for _, g, c in pairs:
+        if g not in want and c not in used:
+            want[g] = c
+            used.add(c)
+    frame = lambda sets, name: spark.createDataFrame([(k, i) for k, x in sets.items() for i in x], f"{name} long, id long")
+    assert {r["group"]: r["child"] for r in graph.matched(frame(groups, "group"), frame(children, "child"), 0.2).collect()} == want
+
+
 def test_hierarchy_with_a_cycle(spark):
     rows = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 6), (6, 5), (7, 6), (8, 99)], "id long, parent long")
     got = {r["id"]: (r["root"], r["depth"], r["cyclic"]) for r in hierarchy.placed(rows).collect()}
