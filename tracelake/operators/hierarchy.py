@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.shared import checkpointed
+from tracelake.shared import checkpointed, written
 
 
 def placed(parents: DataFrame) -> DataFrame:
@@ -30,3 +30,19 @@ def placed(parents: DataFrame) -> DataFrame:
             break  # only cycles keep as many vertices with an ancestor as before, twice as far up
     cyclic = F.col("up").isNotNull()
     return at.select("id", F.when(~cyclic, F.col("root")).alias("root"), F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(id, ancestor, steps) for every ancestor of each id, itself included with no
+    steps, from (id, parent). Each round joins what is known with itself, so it
+    reaches twice as far. A cycle has no ancestors to end at and gives an error."""
+    known = written(parents.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("steps")), "ancestors")
+    reach = 1
+    while not (far := known.where(F.col("steps") == reach)).isEmpty():
+        onward = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("steps").alias("_more"))
+        more = far.join(onward, "ancestor").select("id", F.col("_next").alias("ancestor"), (F.col("steps") + F.col("_more")).alias("steps"))
+        more = written(more, "ancestors")
+        if not more.where("id = ancestor").isEmpty():
+            raise ValueError("the parents go round in a circle")
+        known, reach = known.unionByName(more), 2 * reach
+    return parents.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("steps")).unionByName(known)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracelake.plans import agenda, finance, messages, relations, telemetry, upkeep
+from tracelake.plans import agenda, finance, identity, messages, relations, telemetry, upkeep
 from tracelake.streaming import live
 
-_MODULES = (telemetry, messages, finance, relations, agenda, upkeep, live)
+_MODULES = (telemetry, messages, finance, relations, agenda, upkeep, identity, live)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
