@@ -26,4 +26,17 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Characters that the template escapes, and the order of roles that it accepts.
+_TURNS = r"""SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS "text" FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'"""
+_ESCAPED = r"length({0}) + length(regexp_replace({0}, '[^\\#<:]', '', 'g'))"
+
+#: The others need hashes, models or tokenizers that SQL lacks; tests compare them with plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat_format": rf"""SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || "text" || chr(10), '' ORDER BY turn NULLS FIRST, role, "text")) AS turns_sha256,
+        CAST(coalesce(sum(length("text")) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg("text", '' ORDER BY turn NULLS FIRST, role, "text") FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(14 + {_ESCAPED.format('role')} + {_ESCAPED.format('"text"')}) AS BIGINT) AS formatted_chars,
+        regexp_matches(string_agg(role || ',', '' ORDER BY turn NULLS FIRST, role, "text"), '^(system,)?(user,assistant,)*(user,)?$') AS valid
+        FROM ({_TURNS}) GROUP BY 1""",
+}
