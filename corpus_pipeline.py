@@ -48,15 +48,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, on `documents`. What a stage wrote for
     itself, and its input, go once its result is written."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        before = set(written_so_far()) - mine if k else set(written_so_far())
-        docs = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return docs
-        docs = written(docs, f"pipeline-{name}")
-        path = written_so_far()[-1]
-        for old in set(written_so_far()) - before - {path}:
-            removed(spark, old)
-        mine = {path}
-    return docs
+    docs, others = table(spark, sf_dir, "documents"), set(written_so_far())
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        *own, _ = (path for path in written_so_far() if path not in others)
+        for path in own:
+            removed(spark, path)
+    return STAGES[-1][1](spark, docs, sf_dir)
