@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.latest import first_per_key
+from tracelake.shared import written
 
 
 def new_records(batch: DataFrame, table: DataFrame, keys: list[str], order: list[Column], content: str | None = None, seen: DataFrame | None = None) -> DataFrame:
@@ -37,14 +38,29 @@ def outcomes(batch: DataFrame, kept: DataFrame, inserted: DataFrame, keys: list[
     return rows.agg(F.count(F.lit(1)).alias("posted"), *[F.count_if(F.col("_outcome") == n).alias(n) for n in names])
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """`df` with `place`, each row's number in its key by the order, from 0. Rows are
+    dealt by ranges of key and order, so a key with very many is many tasks' work:
+    places within a range, and the sizes of a key's ranges before it."""
+    spread = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    rows = written(spread, "ranges")  # written, so that a row's range stays what it is
+    sizes = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
+    starts = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"), before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.withColumn("_place", place).join(starts, same).select(*df.columns, (F.col("_place") + F.col("_before")).alias("place"))
+
+
 def count_windows(df: DataFrame, source: str, order: list[str], size: int, alone: Column | None = None) -> DataFrame:
     """Rows of a source in order, `size` to a window (window_no from 0); rows that
     are to go alone make windows of one."""
     alone = F.coalesce(alone, F.lit(False)) if alone is not None else F.lit(False)
-    w = Window.partitionBy(source, "_alone").orderBy(*order)
-    place = F.row_number().over(w) - 1
-    rows = df.withColumn("_alone", alone).withColumn("window_no", F.when(F.col("_alone"), place).otherwise(F.floor(place / size)).cast("long"))
-    return rows.withColumnRenamed("_alone", "alone")
+    rows = numbered(df.withColumn("alone", alone), [source, "alone"], order)
+    place = F.col("place")
+    return rows.withColumn("window_no", F.when(F.col("alone"), place).otherwise(F.floor(place / size)).cast("long")).drop("place")
 
 
 def pending(df: DataFrame, done: list[DataFrame], key: str) -> DataFrame:
