@@ -40,6 +40,17 @@ def one_thread() -> None:
                 break
 
 
+def kept_pages() -> None:
+    """Numpy's large temporaries come from the heap from now on: memory mapped anew
+    for each costs a fault for every page of it."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):
+        return  # another C library
+    mallopt(-3, 32 << 20)  # mapped from this size on
+    mallopt(-1, 64 << 20)  # given back beyond so much at the heap's end
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z in lower case; every other character as it is."""
     return F.translate(column, UPPER, UPPER.lower())

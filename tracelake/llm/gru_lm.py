@@ -33,7 +33,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import in_fold, one_thread, resized, table
+from tracelake.llm.common import in_fold, kept_pages, one_thread, resized, table
 from tracelake.shared import written
 
 #: The end of a document as a token: no word holds a line break.
@@ -410,6 +410,7 @@ def changes_of(docs: DataFrame, shared: Broadcast, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        kept_pages()
         words, flat = shared.value
         net, lookup, read = Network(words, flat), Lookup(words), 0
         squares = np.full_like(net.flat, 1e-6)
@@ -537,6 +538,7 @@ def scored(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        kept_pages()
         scorer = _Scorer(*shared.value)
         for part in resized(batches, 2, SCORE_BYTES):
             if part.num_rows:
