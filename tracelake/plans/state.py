@@ -67,6 +67,28 @@ def f30_scoped(spark, d):
     return lines.select("l_orderkey", F.array_join(some, ",").alias("suppliers"))
 
 
+def r1_vertices(spark, d):
+    """Every vertex with its kind and label."""
+    of = lambda t, k, label: table(spark, d, t).select(F.lit(t).alias("kind"), F.col(k).cast("long").alias("id"), F.col(label).alias("label"))
+    rows = of("customer", "c_custkey", "c_name")
+    for x in (("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"), ("orders", "o_orderkey", "o_orderpriority"), ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name")):
+        rows = rows.unionByName(of(*x))
+    return rows
+
+
+def w5_worked(spark, d):
+    """Messages whose tier is worked on: all that passed a gate, of others those of the individual tier; without files that are still open."""
+    m = messages(spark, d)
+    gated, tier, is_open = F.col("sender") == "books", F.when(F.col("n_chars") > 800, "list").otherwise("individual"), F.col("doc_id") % 4 == 0
+    return m.select("doc_id", ((gated | (tier == "individual")) & ~is_open).alias("worked"))
+
+
+def x4_overrides(spark, d):
+    """Tiers of senders as last set; one set to nothing is cleared."""
+    last = latest.first_per_key(messages(spark, d), ["sender", "lang"], [F.desc("doc_id")])
+    return last.where("n_chars % 5 > 0").select("sender", "lang", (F.col("n_chars") % 5).alias("tier"))
+
+
 def r2_provenance(spark, d):
     """How many orders each vertex rests on: customers directly, parts and suppliers by lines."""
     lines = table(spark, d, "lineitem")
@@ -248,6 +270,11 @@ SQL = {
     "f20_cursors": """SELECT user_id, string_agg(event_type || '=' || id, ', ' ORDER BY event_type) AS summary FROM (SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS id FROM events GROUP BY 1, 2) GROUP BY 1""",
     "f28_labels": f"""SELECT CASE WHEN status = 'F' THEN 'settled' WHEN priority IN ('1-URGENT', '2-HIGH') THEN 'urgent' WHEN amount > 200000 THEN 'large' ELSE 'plain' END AS label, count(*) AS n FROM ({_T}) GROUP BY 1""",
     "f30_scoped": """SELECT l_orderkey, coalesce(string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_linenumber, l_suppkey) FILTER (l_suppkey % 2 = 1), '') AS suppliers FROM lineitem GROUP BY 1""",
+    "r1_vertices": """SELECT 'customer' AS kind, c_custkey AS id, c_name AS label FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL
+        SELECT 'part', p_partkey, p_name FROM part UNION ALL SELECT 'orders', o_orderkey, o_orderpriority FROM orders UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation UNION ALL
+        SELECT 'region', r_regionkey, r_name FROM region""",
+    "w5_worked": f"SELECT doc_id, (sender = 'books' OR n_chars <= 800) AND doc_id % 4 <> 0 AS worked FROM ({_MARKED})",
+    "x4_overrides": f"""SELECT sender, lang, n_chars % 5 AS tier FROM (SELECT * FROM ({_MARKED}) QUALIFY row_number() OVER (PARTITION BY sender, lang ORDER BY doc_id DESC) = 1) WHERE n_chars % 5 > 0""",
     "r2_provenance": """SELECT 'customer' AS kind, o_custkey AS id, count(DISTINCT o_orderkey) AS orders FROM orders GROUP BY 2 UNION ALL
         SELECT 'part', l_partkey, count(DISTINCT l_orderkey) FROM lineitem GROUP BY 2 UNION ALL SELECT 'supplier', l_suppkey, count(DISTINCT l_orderkey) FROM lineitem GROUP BY 2""",
     "r6_real_edges": """SELECT kind, count(*) AS n, count(DISTINCT a) AS "from", count(DISTINCT b) AS "to" FROM (SELECT 'lives_in' AS kind, c_custkey AS a, c_nationkey AS b FROM customer
