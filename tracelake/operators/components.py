@@ -48,15 +48,16 @@ def components(links: DataFrame) -> DataFrame:
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     path = new_path(spark, "links")
     links.write.parquet(path)
-    links = spark.read.parquet(path)
+    links = spark.read.schema(links.schema).parquet(path)
     before = _signature(links)
     while before[0]:
-        after_path = new_path(spark, "links")
-        _small_star(_large_star(links)).write.parquet(after_path)
-        links = spark.read.parquet(after_path)
+        for star in (_large_star, _small_star):
+            after_path = new_path(spark, "links")
+            star(links).write.parquet(after_path)
+            links = spark.read.schema(links.schema).parquet(after_path)
+            removed(spark, path)
+            path = after_path
         after = _signature(links)
-        removed(spark, path)
-        path = after_path
         if after == before:
             break
         before = after
