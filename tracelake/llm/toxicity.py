@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import in_fold, kept, one_thread, table, with_fields
+from tracelake.llm.common import in_fold, kept, one_thread, released, table, with_fields
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, DIM = 16, 16
@@ -431,7 +431,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = TR
 
 def model_for(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = TRAIN_ROWS) -> Model:
     rows, share = training_rows(docs, labels, most)
-    return trained(rows["text"].tolist(), rows["toxic"].astype(int).tolist(), share)
+    model = trained(rows["text"].tolist(), rows["toxic"].astype(int).tolist(), share)
+    del rows
+    released()  # the driver gives back what training took
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
