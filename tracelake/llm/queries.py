@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from tracelake.llm import twins
 from tracelake.llm.chat_format import op6_chat_format
 from tracelake.llm.decontaminate import op9_decontaminate
+from tracelake.llm.filtering_lloyd import op11_vector_codes
 from tracelake.llm.gru_lm import op5_gru_lm
 from tracelake.llm.hilbert_ann import op7_hilbert_neighbours
 from tracelake.llm.html_text import op4_html_text
 from tracelake.llm.licenses import op3_licenses
+from tracelake.llm.merkle import op12_merkle
 from tracelake.llm.sentencepiece_tok import op8_sentencepiece
+from tracelake.llm.sharding import op13_shards
 from tracelake.llm.simhash import op1_simhash
 from tracelake.llm.token_cache import op10_token_counts
 from tracelake.llm.toxicity import op2_toxicity
@@ -24,6 +28,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_merkle": op12_merkle,
+    "op13_shards": op13_shards,
 }
 
 #: Characters that the template escapes, and the order of roles that it accepts.
@@ -39,4 +46,7 @@ ORACLE_SQL: dict[str, str] = {
         CAST(sum(14 + {_ESCAPED.format('role')} + {_ESCAPED.format('"text"')}) AS BIGINT) AS formatted_chars,
         regexp_matches(string_agg(role || ',', '' ORDER BY turn NULLS FIRST, role, "text"), '^(system,)?(user,assistant,)*(user,)?$') AS valid
         FROM ({_TURNS}) GROUP BY 1""",
+    "op11_vector_codes": twins.vector_codes(),
+    "op12_merkle": twins.merkle(),
+    "op13_shards": twins.shards(),
 }
