@@ -61,9 +61,9 @@ def depth(count: Column) -> Column:
 
 
 class Tree(NamedTuple):
-    """leaves: (grp, pos, levels, hash, ...). bands, lowest first: (grp, pos, levels,
-    preimages, hash), a row for each node at the band's top, with the preimages of
-    the parents under it, an array for each level. tops: (grp, hash)."""
+    """leaves: (grp, pos, hash, ...). bands, lowest first: (grp, pos, levels, preimages,
+    hash), a row for each node at the band's top, with the preimages of the parents
+    under it, an array for each level. tops: (grp, hash, levels)."""
 
     leaves: DataFrame
     bands: list[DataFrame]
@@ -72,17 +72,17 @@ class Tree(NamedTuple):
 
 def tree(rows: DataFrame) -> Tree:
     """Trees of (grp, id, hash, ...): a group's rows in order of id, then hash; every
-    two consecutive nodes, or the last alone, have a parent, until one is left."""
-    rows = written(numbered(rows, ["grp"], ["id", "hash"]).withColumnRenamed("place", "pos"), "merkle-leaves")
-    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")).withColumn("levels", depth(F.col("_n")))
-    leaves = joined(rows, sizes, "grp", "_n")
-    nodes, bands, tops = leaves.select("grp", "pos", "levels", "hash"), [], []
+    two consecutive nodes, or the last alone, have a parent, until one is left.
+    Every table is written, so plans stay as small as a step."""
+    leaves = written(numbered(rows, ["grp"], ["id", "hash"]).withColumnRenamed("place", "pos"), "merkle-leaves")
+    sizes = leaves.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")).withColumn("levels", depth(F.col("_n")))
+    nodes, bands, tops = joined(leaves.select("grp", "pos", "hash"), sizes, "grp", "_n"), [], []
     while True:
         done = BAND * len(bands)
-        tops.append(nodes.where(F.col("levels") <= done).select("grp", "hash"))
+        tops.append(nodes.where(F.col("levels") <= done).select("grp", "hash", "levels"))
         band = written(_band(nodes.where(F.col("levels") > done), done), "merkle-parents")
         if band.isEmpty():
-            return Tree(leaves, bands, union(tops))
+            return Tree(leaves, bands, written(union(tops), "merkle-tops"))
         bands.append(band)
         nodes = band.select("grp", "pos", "levels", "hash")
 
@@ -113,24 +113,25 @@ def with_paths(of: Tree, above: DataFrame | None = None) -> DataFrame:
     the slot in it that the way from the leaf has. `above`, one row for each group
     with grp, path and more columns, goes on from the groups' tops; its other
     columns come too."""
+    none = F.array().cast("array<struct<preimage:string,slot:int>>")
     if above is None:
-        above = of.tops.select("grp", F.array().cast("array<struct<preimage:string,slot:int>>").alias("path"))
+        above = of.tops.select("grp", none.alias("path"))
     more = [c for c in above.columns if c not in ("grp", "path")]
-    carried = above.select("grp", F.col("path").alias("_rest"), *more)
-    upper = None  # (grp, _up, _preimages, _rest): the rows of the band above, with the path from their top
+    carried = above.withColumnRenamed("path", "_rest")
+    # a group of one leaf has no parents
+    upper = alone = of.tops.where("levels = 0").join(carried, "grp").select("grp", F.lit(0).cast("long").alias("_up"), F.array().cast("array<array<string>>").alias("_preimages"), "_rest", *more)
     for k, band in reversed(list(enumerate(of.bands))):
         at_top = F.col("levels") <= BAND * (k + 1)
         rows = band.where(at_top).select("grp", "pos", "preimages").join(carried, "grp")
-        if upper is not None:
+        if k + 1 < len(of.bands):
             below = band.where(~at_top).select("grp", "pos", "preimages", F.shiftright("pos", BAND).alias("_up")).join(upper, ["grp", "_up"])
             rows = rows.unionByName(below.withColumn("_rest", F.concat(_steps(F.col("_preimages"), F.col("pos")), "_rest")).drop("_up", "_preimages"))
-        upper = rows.select("grp", F.col("pos").alias("_up"), F.col("preimages").alias("_preimages"), "_rest", *more)
-    alone = of.leaves.where("levels = 0").join(carried, "grp").withColumnRenamed("_rest", "path")
-    if upper is None:
-        return alone
-    inner = of.leaves.where("levels > 0").withColumn("_up", F.shiftright("pos", BAND)).join(upper, ["grp", "_up"])
-    inner = inner.withColumn("path", F.concat(_steps(F.col("_preimages"), F.col("pos")), "_rest")).drop("_up", "_preimages", "_rest")
-    return inner.unionByName(alone)
+        rows = rows.select("grp", F.col("pos").alias("_up"), F.col("preimages").alias("_preimages"), "_rest", *more)
+        if k == 0:
+            rows = rows.unionByName(alone)
+        upper = written(rows, "merkle-paths")
+    inner = of.leaves.withColumn("_up", F.shiftright("pos", BAND)).join(upper, ["grp", "_up"])
+    return inner.withColumn("path", F.concat(_steps(F.col("_preimages"), F.col("pos")), "_rest")).drop("_up", "_preimages", "_rest")
 
 
 def _before(step: Column) -> Column:
@@ -158,7 +159,7 @@ def manifest(rows: DataFrame) -> DataFrame | None:
     root = over.tops.first()
     if root is None:
         return None
-    above = with_paths(over).select(F.col("id").alias("grp"), "path", F.col("hash").alias("subroot"))
+    above = written(with_paths(over).select(F.col("id").alias("grp"), "path", F.col("hash").alias("subroot")), "merkle-above")
     return with_paths(groups, above).withColumn("root", F.lit(root["hash"]))
 
 
