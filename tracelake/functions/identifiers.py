@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Public suffixes of two labels that the domain rule knows, mail
-#: providers open to anyone, and local parts that stand for a role.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.co", "edu.co", "gov.co", "com.mx", "com.ar", "com.br", "com.au", "co.jp")
+#: Common public suffixes, `*.` for any label and `!` for an exception to
+#: that, as the public list spells them; mail providers open to anyone; local parts that stand for a role.
+PUBLIC_SUFFIXES = """
+ac ad ae ai am app ar at au be bg biz blog bo br by ca cat cc ch cl cloud cn co com cr cu cz de dev do dk ec edu ee es eu fi fm fr gg gov gr gt hk hn hr hu id ie il
+in info int io is it jobs jp kr kz la li lt lu lv me media mil mobi mx museum my name net ni nl no nu nz online org pa page pe ph pk pl pro pt py ro rs ru sa se sg
+shop si site sk store sv tech th tk top tr travel tv tw ua ug uk us uy uz ve vn ws xyz za
+co.uk org.uk ac.uk gov.uk ltd.uk com.co edu.co gov.co net.co org.co com.mx org.mx gob.mx com.ar gob.ar com.br gov.br com.au net.au org.au edu.au co.jp ac.jp or.jp
+co.nz co.za co.in co.kr com.cn com.tw com.pe com.ec com.ve com.tr com.sg com.hk co.il com.es
+*.ck !www.ck *.bd *.kawasaki.jp !city.kawasaki.jp
+"""
 FREE_MAIL = ("gmail.com", "googlemail.com", "hotmail.com", "outlook.com", "yahoo.com", "icloud.com", "proton.me", "live.com")
 ROLE_TOKENS = ("noreply", "notifications", "notification", "alerts", "mailer", "daemon", "newsletter", "postmaster", "donotreply")
 
@@ -40,11 +49,37 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(rest, "^([^/?#:]*)", 1), r"^www\.", "")
 
 
-def registrable_domain(name: Column) -> Column:
-    """The registrable part of a host: one label before its public suffix."""
-    labels = F.split(name, r"\.")
-    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), F.lit(n)), ".")
-    return F.when(last(2).isin(*TWO_LABEL_SUFFIXES), last(3)).otherwise(last(2))
+class SuffixRules(NamedTuple):
+    plain: frozenset[str]
+    wild: frozenset[str]  # of `*.x`: x
+    exceptions: frozenset[str]
+
+
+def suffix_rules(text: str = PUBLIC_SUFFIXES) -> SuffixRules:
+    """Rules in the public list's format: one a word, or a line; comments begin with //."""
+    words = [w.lower() for line in text.splitlines() if not line.strip().startswith("//") for w in line.split()]
+    return SuffixRules(
+        frozenset(w for w in words if w[0] not in "*!"), frozenset(w[2:] for w in words if w.startswith("*.")), frozenset(w[1:] for w in words if w[0] == "!"),
+    )
+
+
+def registrable_domain(name: Column, rules: SuffixRules | None = None) -> Column:
+    """The registrable part of a host: one label before its public suffix, the longest
+    that a rule says. An exception is registrable itself. A host without a known
+    suffix, an address of numbers, or a suffix alone stays as it is; an empty one is empty.
+    The rules are sets in the plan, looked up by hash: each label is one look-up."""
+    rules = rules or suffix_rules()
+    host = F.lower(F.trim(name))
+    labels = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+    n = F.size(labels)
+    tail = lambda i: F.array_join(F.slice(labels, i, n - i + 1), ".")  # noqa: E731  from a label, counted from 1
+    among = lambda c, held: c.isin(*sorted(held)) if held else F.lit(False)
+    # from the left, so the longest suffix comes first: where the registrable part begins
+    places = F.filter(F.sequence(F.lit(1), n), lambda i: among(tail(i), rules.exceptions) | (i < n) & (
+        among(tail(i + 1), rules.plain) | (i + 2 <= n) & among(tail(i + 2), rules.wild) & ~among(tail(i + 1), rules.exceptions)
+    ))
+    suffix = among(tail(F.lit(1)), rules.plain) | (n > 1) & among(tail(F.lit(2)), rules.wild) & ~among(tail(F.lit(1)), rules.exceptions)
+    return F.when(suffix | (F.size(places) == 0), host).otherwise(tail(F.get(places, F.lit(0))))
 
 
 def is_free_mail(address: Column) -> Column:

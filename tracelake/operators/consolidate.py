@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tracelake.operators.components import components
 from tracelake.operators.joins import within_time_pairs
 from tracelake.operators.latest import first_per_key
+from tracelake.shared import written
+from tracelake.store import Snapshot, Store, Table
 
 
 def scored_pairs(df: DataFrame, ident: str, ts: str, same: list[str], worth: dict[str, float], base: float, seconds: int, confirmed: float = 0.85, candidate: float = 0.40) -> DataFrame:
@@ -49,3 +51,28 @@ def _by(group: str, order: list[Column]):
     from pyspark.sql import Window
 
     return Window.partitionBy(group).orderBy(*order)
+
+
+#: Groups by their members and by their roots, so that both are found without reading all of them.
+GROUP_TABLES = {"by_id": Table("id long, root long", ("id",), ("id",)), "by_root": Table("root long, id long", ("root", "id"), ("root",))}
+
+
+def extended(store: Store, base: Snapshot, new: DataFrame, pairs: DataFrame) -> tuple[Snapshot, DataFrame]:
+    """The stored groups after new ids (id) and pairs (a_id, b_id), and what changed
+    (id, root): as if all pairs so far were grouped at once, but only groups that a
+    new pair touches are read, and only the members of those that get another root
+    are written. A group's root is its smallest id."""
+    pairs = written(pairs.select("a_id", "b_id"), "new-pairs")
+    ends = written(new.select("id").unionByName(pairs.select(F.col("a_id").alias("id"))).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct(), "ends")
+    known = base.table("by_id", ends).join(ends, "id", "left_semi")
+    roots = written(ends.join(known, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.col("root").isNull().alias("fresh")), "roots")
+    of = lambda side: roots.select(F.col("id").alias(f"{side}_id"), F.col("root").alias(side))
+    links = pairs.join(of("a"), "a_id").join(of("b"), "b_id").where("a <> b").select("a", "b")
+    moved = written(components(links).select(F.col("vertex").alias("root"), F.col("root").alias("to")), "moved")
+    members = base.table("by_root", moved).join(moved, "root").select("id", F.col("root").alias("before"), F.col("to").alias("root"))
+    fresh = roots.where("fresh").join(moved, "root", "left").select("id", F.lit(None).cast("long").alias("before"), F.coalesce("to", "root").alias("root"))
+    changed = written(members.unionByName(fresh), "regrouped")
+    put = lambda rows, gone: rows.withColumn("gone", F.lit(gone))
+    leaving = put(changed.where("before IS NOT NULL").select(F.col("before").alias("root"), "id"), True)
+    after = store.commit(base, {"by_id": put(changed.select("id", "root"), False), "by_root": put(changed.select("root", "id"), False).unionByName(leaving)})
+    return after, changed.select("id", "root")

@@ -6,9 +6,11 @@ vertices needs about log n joins, whatever the number of vertices.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.ingest import numbered
+from tracelake.operators.latest import first_per_key
 from tracelake.shared import checkpointed, written
 
 
@@ -46,3 +48,110 @@ def ancestors(parents: DataFrame) -> DataFrame:
             raise ValueError("the parents go round in a circle")
         known, reach = known.unionByName(more), 2 * reach
     return parents.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("steps")).unionByName(known)
+
+
+def toured(parents: DataFrame, order: str, values: tuple[str, ...] = ()) -> DataFrame:
+    """(id, root, depth, place, size, and the sum of each of `values` under the id):
+    the forest of (id, parent, order, values) in depth-first order, children by
+    `order`, then id; `place` counts from 0 in each tree, `size` the ids under an id,
+    itself included. What is on or under a cycle is left out.
+
+    A tree's Euler tour enters and leaves every id once; each step knows the next
+    one: on entering, the first child's, else its own leaving; on leaving, the next
+    sibling's entering, else the parent's leaving. Pointer doubling adds up what comes
+    after each step, so a chain of n ids needs log n rounds of 2n rows, and no path is spelled out.
+    """
+    whole = placed(parents.select("id", "parent")).where("NOT cyclic").select("id", "root", "depth")
+    at = parents.select("id", "parent", order, *values).join(whole, "id").withColumn("parent", F.when(F.col("depth") > 0, F.col("parent")))
+    at = written(at, "forest")
+    siblings = Window.partitionBy("parent").orderBy(order, "id")
+    kids = at.where("parent IS NOT NULL").select("id", "parent", F.lead("id").over(siblings).alias("_next"), F.row_number().over(siblings).alias("_k"))
+    first = kids.where("_k = 1").select(F.col("parent").alias("id"), F.col("id").alias("_first"))
+    rows = at.join(kids.select("id", "_next"), "id", "left").join(first, "id", "left")
+    none = [F.lit(0).cast("double").alias(v) for v in values]
+    inward = rows.select("id", F.lit(True).alias("enters"), F.coalesce("_first", "id").alias("to"), F.col("_first").isNotNull().alias("to_enters"), F.lit(1).cast("long").alias("n"), *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values])
+    outward = rows.select("id", F.lit(False).alias("enters"), F.coalesce("_next", "parent").alias("to"), F.col("_next").isNotNull().alias("to_enters"), F.lit(0).cast("long").alias("n"), *none)
+    steps = written(inward.unionByName(outward), "tour")
+    while not steps.where("to IS NOT NULL").isEmpty():
+        onward = steps.select(F.col("id").alias("to"), F.col("enters").alias("to_enters"), F.col("to").alias("_to"), F.col("to_enters").alias("_to_enters"), *[F.col(c).alias(f"_{c}") for c in ("n", *values)])
+        more = steps.where("to IS NOT NULL").join(onward, ["to", "to_enters"]).select(
+            "id", "enters", F.col("_to").alias("to"), F.col("_to_enters").alias("to_enters"), *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in ("n", *values)]
+        )
+        steps = written(more.unionByName(steps.where("to IS NULL")), "tour")
+    by_id = steps.groupBy("id").agg(*[F.max(F.when(F.col("enters") == side, F.col(c))).alias(f"{c}_{side}") for c in ("n", *values) for side in (True, False)])
+    got = by_id.join(at.select("id", "root", "depth"), "id")
+    total = got.where("id = root").select("root", F.col("n_True").alias("_all"))
+    got = got.join(total, "root")
+    sums = [(F.col(f"{v}_True") - F.col(f"{v}_False")).alias(v) for v in values]
+    return got.select("id", "root", "depth", (F.col("_all") - F.col("n_True")).alias("place"), (F.col("n_True") - F.col("n_False")).alias("size"), *sums)
+
+
+def linked(parents: DataFrame, links: DataFrame) -> DataFrame:
+    """(idx, child, parent, accepted): links put into a forest one after another by
+    idx, each in place of its child's parent, unless it is the child itself or comes
+    after it in the forest as it is by then. `parents`: (id, parent) without cycles;
+    `links`: (idx, child, parent), one for each child (see `first_links`).
+
+    A link walks up from its parent, all links at once, a step a round. Where it
+    comes to the child of an earlier link that isn't decided yet, it waits; the
+    earliest undecided one never does, so the rounds end."""
+    spark = links.sparkSession
+    own = links.select(F.col("child").alias("id"), F.col("idx").alias("_idx"), F.col("parent").alias("_to"))
+    steps = written(parents.select("id", F.col("parent").alias("_old")).join(own, "id", "full"), "steps")
+    walks = written(links.select("idx", "child", F.col("parent").alias("at")), "walks")
+    decided = written(spark.createDataFrame([], "idx long, accepted boolean"), "decided")
+    while not walks.isEmpty():
+        verdicts = F.broadcast(decided) if decided.count() < 100_000 else decided
+        known = steps.join(verdicts.select(F.col("idx").alias("_idx"), F.col("accepted").alias("_ok")), "_idx", "left")
+        here = walks.join(known.withColumnRenamed("id", "at"), "at", "left")
+        earlier = F.coalesce(F.col("_idx") < F.col("idx"), F.lit(False))
+        met = F.col("at") == F.col("child")
+        waits = earlier & F.col("_ok").isNull() & ~met
+        on = F.when(earlier & F.col("_ok"), F.col("_to")).otherwise(F.col("_old"))
+        here = written(here.select("idx", "child", met.alias("met"), F.when(waits, F.col("at")).otherwise(on).alias("at")), "walks")
+        done = here.where("met OR at IS NULL").select("idx", (~F.col("met")).alias("accepted"))
+        decided = written(decided.unionByName(done), "decided")
+        walks = here.where("NOT met AND at IS NOT NULL").select("idx", "child", "at")
+    return links.select("idx", "child", "parent").join(decided, "idx")
+
+
+def first_links(links: DataFrame) -> DataFrame:
+    """Of several links of a child, in order of idx, the first."""
+    return first_per_key(links, ["child"], [F.col("idx")])
+
+
+def link_items(content: Column) -> Column:
+    """The links of an answer {"links": [...]}, in order: (child_id, parent_id,
+    parent_name, cleaned_name); empty if it isn't that. Ids are whole numbers, not in quotes."""
+    variants = F.try_variant_get(F.try_parse_json(content), "$.links", "array<variant>")
+    number = lambda v, path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "BIGINT", F.try_variant_get(v, path, "long"))
+    words = lambda v, path: F.nullif(F.trim(F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))), F.lit(""))
+    return F.transform(F.coalesce(variants, F.array().cast("array<variant>")), lambda v: F.struct(
+        number(v, "$.child_id").alias("child_id"), number(v, "$.parent_id").alias("parent_id"), words(v, "$.parent_name").alias("parent_name"), words(v, "$.cleaned_name").alias("cleaned_name"),
+    ))
+
+
+def named_parents(items: DataFrame, directory: DataFrame, core) -> tuple[DataFrame, DataFrame]:
+    """(idx, child, parent) of the link items that count, and (id, name) of parents
+    they bring. `items`: (idx, child_id, parent_id, parent_name); `directory`: (id,
+    name, pinned). An item needs a known child and either a known parent or a name;
+    a child's first such item counts, and none of a child whose parent is pinned. A name
+    is the entry with the same `core` and the least id, else a new one, with the next
+    free id in order of its first item; names without a core are always new."""
+    ids = directory.select(F.col("id").alias("child_id"), F.coalesce("pinned", F.lit(False)).alias("_pinned"))
+    known = directory.select(F.col("id").alias("parent_id"), F.lit(True).alias("_known"))
+    rows = items.join(ids, "child_id").join(known, "parent_id", "left")
+    by_id, by_name = F.col("_known").isNotNull(), F.coalesce(F.col("parent_name") != "", F.lit(False))
+    rows = first_per_key(rows.where(by_id != by_name).withColumn("by_id", by_id), ["child_id"], [F.col("idx")]).where("NOT _pinned")
+    rows = written(rows.select("idx", "child_id", "by_id", "parent_id", "parent_name", core(F.col("parent_name")).alias("_core")), "links")
+    cores = directory.select("id", core(F.col("name")).alias("_core")).where("_core <> ''").groupBy("_core").agg(F.min("id").alias("_found"))
+    named = rows.where("NOT by_id").join(cores, "_core", "left")
+    # the same core, or a name without one, of the same first item
+    fresh = named.where("_found IS NULL").withColumn("_as", F.when(F.col("_core") != "", F.col("_core")).otherwise(F.concat(F.lit("\t"), F.col("idx").cast("string"))))
+    firsts = fresh.groupBy("_as").agg(F.min(F.struct("idx", "parent_name")).alias("_f")).select("_as", F.col("_f.idx").alias("idx"), F.col("_f.parent_name").alias("name"))
+    top = directory.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    made = written(numbered(firsts.withColumn("_one", F.lit(0)), ["_one"], ["idx"]).select("_as", (F.col("place") + top + 1).alias("id"), "name"), "parents")
+    links = rows.where("by_id").select("idx", F.col("child_id").alias("child"), F.col("parent_id").alias("parent"))
+    links = links.unionByName(named.where("_found IS NOT NULL").select("idx", F.col("child_id").alias("child"), F.col("_found").alias("parent")))
+    links = links.unionByName(fresh.join(made.select("_as", "id"), "_as").select("idx", F.col("child_id").alias("child"), F.col("id").alias("parent")))
+    return links, made.select("id", "name")

@@ -89,11 +89,35 @@ def dead_letters(failures: DataFrame, keys: list[str], most: int = 3) -> DataFra
     return counted.withColumn("status", F.when(F.col("attempts") >= most, "review").otherwise("retry"))
 
 
-def backfill_windows(spark, start: str, end: str, step: str) -> DataFrame:
-    """Windows of a day, week or month from start, the last cut at the end; months
-    are counted from the start, so a clamped day doesn't drift."""
-    unit = {"day": "make_interval(0, 0, 0, i)", "week": "make_interval(0, 0, i)", "month": "make_interval(0, i)"}[step]
-    rows = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")))).alias("i"))
-    at = lambda i: F.expr(f"CAST(DATE'{start}' + {unit.replace('i)', f'{i})')} AS DATE)")
-    windows = rows.select(at("i").alias("window_start"), F.least(at("i + 1"), F.lit(end).cast("date")).alias("window_end"))
-    return windows.where(F.col("window_start") < F.lit(end).cast("date"))
+def job_windows(jobs: DataFrame) -> DataFrame:
+    """(source, window_start, window_end) of backfill jobs (source, range_start,
+    range_end, unit): days, weeks or months from the start, the last window cut at the
+    end; months are counted from the start, so a clamped day doesn't drift."""
+    step = lambda i: F.when(F.col("unit") == "day", F.date_add("range_start", i)).when(F.col("unit") == "week", F.date_add("range_start", i * 7)).otherwise(F.add_months("range_start", i))
+    days = F.datediff("range_end", "range_start")
+    most = F.when(F.col("unit") == "day", days).when(F.col("unit") == "week", F.ceil(days / 7)).otherwise(F.ceil(F.months_between("range_end", "range_start")) + 1)
+    rows = jobs.where("range_start < range_end").select("*", F.explode(F.sequence(F.lit(0), most.cast("int"))).alias("_i"))
+    windows = rows.select("source", "range_end", step(F.col("_i")).alias("window_start"), F.least(step(F.col("_i") + 1), "range_end").alias("window_end"))
+    return windows.where("window_start < range_end").drop("range_end")
+
+
+def new_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs with the frontier at their start and nothing done."""
+    return jobs.select("*", F.col("range_start").alias("frontier"), F.lit("active").alias("status"), F.lit(0).cast("long").alias("windows"), F.lit(0).cast("long").alias("posted"))
+
+
+def advanced_jobs(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """Jobs after a run over the windows from their frontier on: it moves over the
+    windows before the first one that failed, which the next run begins with, and
+    what these posted is added. `results`: (source, window_start, window_end, posted,
+    failed); a window without a result is one that had nothing to post."""
+    ahead = job_windows(jobs).join(jobs.select("source", "frontier"), "source").where("window_start >= frontier").drop("frontier")
+    rows = ahead.join(results.select("source", "window_start", "posted", F.coalesce("failed", F.lit(False)).alias("failed")), ["source", "window_start"], "left")
+    stops = rows.groupBy("source").agg(F.min(F.when(F.col("failed"), F.col("window_start"))).alias("_stop"))
+    moved = rows.join(stops, "source").where("_stop IS NULL OR window_start < _stop")
+    gained = moved.groupBy("source").agg(F.max("window_end").alias("_to"), F.count(F.lit(1)).alias("_windows"), F.coalesce(F.sum("posted"), F.lit(0)).alias("_posted"))
+    after = jobs.join(gained, "source", "left").withColumn("frontier", F.coalesce("_to", "frontier"))
+    return after.select(
+        *[c for c in jobs.columns if c not in ("frontier", "status", "windows", "posted")], "frontier", F.when(F.col("frontier") >= F.col("range_end"), "done").otherwise("active").alias("status"),
+        (F.col("windows") + F.coalesce("_windows", F.lit(0))).alias("windows"), (F.col("posted") + F.coalesce("_posted", F.lit(0))).alias("posted"),
+    )

@@ -117,10 +117,6 @@ def w7_windows(spark, d):
     return ingest.count_windows(turns, "conv_id", ["turn"], 4, F.col("role") == "system").select("conv_id", "turn", "alone", "window_no")
 
 
-def w12_backfill(spark, d):
-    return ingest.backfill_windows(spark, "2024-01-31", "2024-06-10", "month")
-
-
 def w20_merged_facts(spark, d):
     facts = table(spark, d, "documents").select("lang", "source", F.array("doc_id").alias("ids"))
     got = ingest.merged_facts(facts, {"lang": F.upper("lang"), "source": text.normalized(F.col("source"))}, "ids")
@@ -193,9 +189,6 @@ SQL = {
     "w3_unmarked": "SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) GROUP BY 1",
     "w7_windows": """SELECT conv_id, turn, alone, CASE WHEN alone THEN rn ELSE rn // 4 END AS window_no FROM (
         SELECT conv_id, turn, role = 'system' AS alone, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn) - 1 AS rn FROM conversations)""",
-    "w12_backfill": """SELECT CAST(DATE '2024-01-31' + to_months(CAST(i AS INTEGER)) AS DATE) AS window_start,
-        least(CAST(DATE '2024-01-31' + to_months(CAST(i + 1 AS INTEGER)) AS DATE), DATE '2024-06-10') AS window_end FROM range(12) t(i)
-        WHERE CAST(DATE '2024-01-31' + to_months(CAST(i AS INTEGER)) AS DATE) < DATE '2024-06-10'""",
     "w20_merged_facts": "SELECT upper(lang) AS lang, lower(trim(source)) AS source, count(*) AS merged, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1, 2",
     "w21_forgotten": "SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM events WHERE event_id >= 200 GROUP BY 1, 2",
     "w22_dead_letters": "SELECT user_id, count(*) AS attempts, CASE WHEN count(*) >= 3 THEN 'review' ELSE 'retry' END AS status FROM events WHERE event_type = 'error' GROUP BY 1",

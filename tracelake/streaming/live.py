@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators import rules
 from tracelake.shared import new_path
+from tracelake.store import Snapshot, Store, Table
+
+#: Rules as a store has them: a rule's conditions as JSON.
+RULE_TABLES = {"rules": Table("id long, action string, scope string, priority int, enabled boolean", ("id",), ("id",))}
+
+
+@contextmanager
+def on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, on disk, not in the executors' memory."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
@@ -27,7 +47,56 @@ def ingested(rows: DataFrame, target: str, keys: list[str], checkpoint: str, fil
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     new = kept.dropDuplicates(keys)
-    return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with on_disk(rows.sparkSession):
+        return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def appended(rows: DataFrame, target: str, checkpoint: str):
+    """Starts a stream that writes each batch to the folder of its number, once more if the batch is run again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def listed(at: Snapshot) -> list[rules.Rule]:
+    """The rules of a version; they are few, since each is a part of every plan."""
+    return [rules.Rule(r["id"], r["action"], json.loads(r["scope"]), r["priority"], r["enabled"]) for r in at.table("rules").orderBy("id").collect()]
+
+
+def pinned(store: Store, checkpoint: str, number: int) -> int:
+    """The version of the rules for a batch: the last one when it first ran, also if it runs again."""
+    spark = store.spark
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/rules/{number}")
+    fs = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(file) and fs.getFileStatus(file).getLen():
+        stream = fs.open(file)
+        try:
+            return int(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+    version = store.snapshot().version
+    stream = fs.create(file, True)
+    stream.write(bytearray(str(version), "utf-8"))
+    stream.close()
+    return version
+
+
+def ruled(rows: DataFrame, store: Store, target: str, checkpoint: str, payload: str = "payload", trigger: dict | None = None):
+    """Starts a stream whose batches each go by the rules of one version of `store`,
+    the last one at the batch's first run: rules that change meanwhile hold from the
+    next batch on, and a batch that is run again is decided alike. Writes what is kept to
+    target/kept and the number that each rule dropped to target/drops, by batch, with the rules' version."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        version = pinned(store, checkpoint, number)
+        kept, drops = rules.filtered(batch, listed(store.snapshot(version)), payload=payload)
+        for name, part in (("kept", kept), ("drops", drops)):
+            part.withColumn("rules", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+
+    start = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (start.trigger(**trigger) if trigger else start).start()
 
 
 def windowed(rows: DataFrame, ts: str, keys: list[str], width: str, slide: str, late: str) -> DataFrame:
