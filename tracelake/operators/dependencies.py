@@ -62,9 +62,11 @@ def first_free(items: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("done"), own.alias("left")).cast(kind)
 
     def step(state: Column, _: Column) -> Column:
-        ready = F.filter(state["left"], lambda x: F.size(F.array_except(x["deps"], state["done"])) == 0)
-        after = F.struct(F.concat(state["done"], F.array(ready[0]["name"])).alias("done"), F.filter(state["left"], lambda x: x["name"] != ready[0]["name"]).alias("left"))
-        return F.when(F.size(ready) > 0, after.cast(kind)).otherwise(state)
+        ready = F.filter(state["left"], lambda x: F.size(x["deps"]) == 0)
+        without = lambda name: F.transform(F.filter(state["left"], lambda x: x["name"] != name), lambda x: F.struct(x["name"].alias("name"), F.array_remove(x["deps"], name).alias("deps")))
+        # as an array of one, so that the name is looked for once and not for every item
+        after = F.transform(F.slice(ready, 1, 1), lambda r: F.struct(F.concat(state["done"], F.array(r["name"])).alias("done"), without(r["name"]).alias("left")))
+        return F.coalesce(F.get(after, F.lit(0)).cast(kind), state)
 
     end = F.aggregate(F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items))).otherwise(F.array().cast("array<int>")), start, step)
     return F.when(F.size(end["left"]) == 0, end["done"])
@@ -111,7 +113,7 @@ def packs(items: Column, most: int) -> Column:
 def packed(orders: DataFrame, deps: DataFrame, most: int) -> DataFrame:
     """(grp, name, place, pack) of (grp, name, place): packs of `most` names, in order,
     none beside a name that it depends on. What a name depends on counts among its group's names only."""
-    rows = orders.where("place IS NOT NULL")
+    rows = written(orders.where("place IS NOT NULL"), "orders")
     reach = closure(rows.select(F.col("name").alias("grp"), "name").distinct(), deps)
     before = rows.select("grp", "name").join(reach.where("grp <> name").select(F.col("grp").alias("name"), F.col("name").alias("_b")), "name")
     inside = before.join(rows.select("grp", F.col("name").alias("_b")), ["grp", "_b"], "left_semi").groupBy("grp", "name").agg(F.array_sort(F.collect_list("_b")).alias("before"))

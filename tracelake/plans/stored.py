@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import consolidate
+from tracelake.operators import clusters, consolidate
 from tracelake.plans import finance
 from tracelake.shared import new_path
-from tracelake.sources.tables import transactions
+from tracelake.sources.tables import events, table, transactions
 from tracelake.store import Store
 
 #: Days at which the orders so far are grouped; what comes between them is added.
@@ -33,6 +33,52 @@ def e10_incremental(spark, d):
     return snapshot.table("by_id").join(last.groupBy("id").agg(F.max("batch").alias("batch")), "id")
 
 
+#: Orders that a detection sees, by their day: each wants customers with one of them.
+DETECTIONS = ("{0} < '1995-01-01'", "{0} < '1996-07-01'", "{0} >= '1996-07-01' AND {1} < 20")
+
+
+def x17_clusters(spark, d):
+    """Customers in blobs by nation, detected three times and parted twice: every
+    cluster that the store then has. A blob's groups are its even and odd
+    customers; those of nations 3, 8, ... have none, those of 4, 9, ... wait."""
+    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("member"), F.col("c_nationkey").alias("nation"))
+    store = Store(spark, new_path(spark, "clusters"), clusters.CLUSTER_TABLES, 4)
+    at = store.snapshot()
+    for run, seen in enumerate(DETECTIONS):
+        found = orders.where(seen.format("o_orderdate", "c_nationkey")).select(F.col("c_nationkey").alias("blob"), F.col("c_custkey").alias("member"))
+        at = clusters.reconciled_blobs(store, at, found, run)
+        if run < 2:
+            of = at.table("members").join(at.table("clusters").where("status = 'candidate'"), "cluster_id").join(customers, "member")
+            groups = of.where("nation % 5 < 3").select("cluster_id", (F.col("member") % 2).alias("grp"), "member")
+            at = clusters.parted(store, at, of.where("nation % 5 < 4").select("cluster_id"), groups, run)
+    return at.table("clusters")
+
+
+def x14_traces(spark, d):
+    """Each order's trace: a root and its lines; every third is traced again with its
+    returned lines only, and urgent ones get a leaf under the root."""
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    root = orders.select(F.col("o_orderkey").alias("inbox"), F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("seq"), F.lit("root").alias("kind"), F.lit("order").alias("label"))
+    first = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
+    child = first.select(F.col("l_orderkey").alias("inbox"), F.col("l_linenumber").cast("long").alias("node"), F.lit(0).cast("long").alias("parent"), (F.col("l_linenumber") - 1).cast("long").alias("seq"), F.lit("line").alias("kind"), F.col("l_returnflag").alias("label"))
+    store = Store(spark, new_path(spark, "traces"), clusters.TRACE_TABLES, 4)
+    at = clusters.retraced(store, store.snapshot(), root.unionByName(child.join(root, "inbox", "left_semi")))
+    at = clusters.retraced(store, at, root.where("inbox % 3 = 0").unionByName(child.where("inbox % 3 = 0 AND label = 'R'").join(root, "inbox", "left_semi")))
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("inbox"), F.lit(0).cast("long").alias("parent"), F.lit("error").alias("kind"), F.col("o_orderstatus").alias("label"))
+    return clusters.attached(store, at, urgent).table("trace").select("inbox", "node", "parent", "seq", "kind", "label")
+
+
+def x1_cursors(spark, d):
+    """A cursor for each type of event, put forward by the first, the last, then the middle week."""
+    rows = events(spark, d).select(F.col("event_type").alias("source"), F.col("event_id").alias("at"), F.dayofmonth("ts").alias("day"))
+    store = Store(spark, new_path(spark, "cursors"), clusters.CURSOR_TABLES, 4)
+    at = store.snapshot()
+    for low, high in ((1, 7), (22, 31), (8, 21)):
+        at = clusters.moved_cursors(store, at, rows.where(F.col("day").between(low, high)))
+    return at.table("cursors")
+
+
 _BY = "CASE " + " ".join(f"WHEN \"at\" < TIMESTAMP '{day}' THEN {k}" for k, day in enumerate(BATCHES)) + " END"
 _ROOTS = " UNION ALL ".join(
     f"""SELECT {k} AS batch, x AS id, min(y) AS root FROM (SELECT id AS x, id AS y FROM b WHERE batch <= {k} UNION ALL SELECT x, y FROM reach{k}) GROUP BY 2""" for k in range(len(BATCHES))
@@ -40,9 +86,50 @@ _ROOTS = " UNION ALL ".join(
 _REACH = ", ".join(
     f"""reach{k} AS (SELECT x, y FROM l WHERE batch <= {k} UNION SELECT reach{k}.x, l.y FROM reach{k} JOIN l ON reach{k}.y = l.x AND l.batch <= {k})""" for k in range(len(BATCHES))
 )
+
+def _x17_sql() -> str:
+    sign = "count(*) || '-' || sum(CAST('0x' || substr(md5(CAST(member AS VARCHAR)), 1, 15) AS HUGEINT))"
+    live = "status IN ('confirmed', 'stale')"
+    ctes = ["c0 AS (SELECT 0::BIGINT AS cluster_id, '' AS status, '' AS signature, '' AS blob_signature, 0::BIGINT AS members, 0::BIGINT AS seen WHERE false)", "m0 AS (SELECT 0::BIGINT AS cluster_id, 0::BIGINT AS member WHERE false)"]
+    for r, seen in enumerate(DETECTIONS):
+        c, m, k = f"c{r}", f"m{r}", f"r{r}"
+        ctes += [
+            f"d{r} AS (SELECT DISTINCT c_nationkey AS blob, c_custkey AS member FROM orders JOIN customer ON o_custkey = c_custkey WHERE {seen.format('o_orderdate', 'c_nationkey')})",
+            f"s{r} AS (SELECT blob, count(*) AS members, {sign} AS signature FROM d{r} GROUP BY 1)",
+            f"""n{r} AS (SELECT (SELECT coalesce(max(cluster_id), -1) FROM {c}) + row_number() OVER (ORDER BY signature) AS cluster_id, blob, signature, members FROM s{r}
+                WHERE signature NOT IN (SELECT blob_signature FROM {c} WHERE {live} UNION ALL SELECT signature FROM {c} WHERE status IN ('candidate', 'rejected')))""",
+            f"""{k}c AS (SELECT cluster_id, CASE WHEN {live} AND cluster_id NOT IN (SELECT cluster_id FROM {m} JOIN d{r} USING (member)) THEN 'dissolved' ELSE status END AS status, signature, blob_signature, members,
+                CASE WHEN {live} AND blob_signature IN (SELECT signature FROM s{r}) THEN {r} ELSE seen END AS seen FROM {c} WHERE NOT (status = 'candidate' AND signature NOT IN (SELECT signature FROM s{r}))
+                UNION ALL SELECT cluster_id, 'candidate', signature, signature, members, {r} FROM n{r})""",
+            f"{k}m AS (SELECT * FROM {m} WHERE cluster_id IN (SELECT cluster_id FROM {k}c) UNION ALL SELECT cluster_id, member FROM n{r} JOIN d{r} USING (blob))",
+        ]
+        if r == 2:
+            return f"WITH {', '.join(x.replace(' AS (', ' AS MATERIALIZED (', 1) for x in ctes)} SELECT cluster_id, status, signature, blob_signature, members, seen FROM {k}c"
+        ctes += [
+            f"p{r} AS (SELECT cluster_id, any_value(signature) AS signature, any_value(c_nationkey) AS nation FROM {k}c JOIN {k}m USING (cluster_id) JOIN customer ON c_custkey = member WHERE status = 'candidate' GROUP BY 1 HAVING nation % 5 < 4)",
+            f"g{r} AS (SELECT dense_rank() OVER (ORDER BY cluster_id, member % 2) AS gid, member, signature AS blob_signature FROM p{r} JOIN {k}m USING (cluster_id) WHERE nation % 5 < 3)",
+            f"o{r} AS (SELECT DISTINCT cluster_id FROM {k}c JOIN {k}m USING (cluster_id) WHERE {live} AND member IN (SELECT member FROM {k}m JOIN p{r} USING (cluster_id)))",
+            f"""j{r} AS (SELECT gid, cluster_id, hits / (a + b - hits) AS score FROM (SELECT gid, cluster_id, count(*) AS hits FROM g{r} JOIN {k}m USING (member) JOIN o{r} USING (cluster_id) GROUP BY 1, 2)
+                JOIN (SELECT gid, count(*) AS a FROM g{r} GROUP BY 1) USING (gid) JOIN (SELECT cluster_id, count(*) AS b FROM {k}m GROUP BY 1) USING (cluster_id) WHERE score >= 0.5)""",
+            f"t{r} AS (SELECT gid, cluster_id FROM j{r} QUALIFY row_number() OVER (PARTITION BY gid ORDER BY score DESC, cluster_id) = 1 AND row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, gid) = 1)",
+            f"""u{r} AS (SELECT gid, cluster_id FROM t{r} UNION ALL SELECT gid, (SELECT max(cluster_id) FROM {k}c) + row_number() OVER (ORDER BY gid) FROM (SELECT DISTINCT gid FROM g{r} WHERE gid NOT IN (SELECT gid FROM t{r})))""",
+            f"""c{r + 1} AS (SELECT cluster_id, 'confirmed' AS status, {sign} AS signature, any_value(blob_signature) AS blob_signature, count(*) AS members, {r} AS seen FROM u{r} JOIN g{r} USING (gid) GROUP BY cluster_id
+                UNION ALL SELECT cluster_id, CASE WHEN cluster_id IN (SELECT cluster_id FROM o{r}) THEN 'dissolved' WHEN cluster_id IN (SELECT cluster_id FROM p{r}) THEN 'rejected' ELSE status END, signature, blob_signature, members, seen
+                FROM {k}c WHERE cluster_id NOT IN (SELECT cluster_id FROM t{r}) AND cluster_id NOT IN (SELECT cluster_id FROM p{r} WHERE nation % 5 < 3))""",
+            f"""m{r + 1} AS (SELECT cluster_id, member FROM u{r} JOIN g{r} USING (gid) UNION ALL SELECT * FROM {k}m WHERE cluster_id NOT IN (SELECT cluster_id FROM t{r}) AND cluster_id NOT IN (SELECT cluster_id FROM p{r} WHERE nation % 5 < 3))""",
+        ]
+    raise AssertionError
+
+
 SQL = {
     "e10_incremental": f"""WITH RECURSIVE b AS MATERIALIZED (SELECT id, {_BY} AS batch FROM ({finance._T})), p AS MATERIALIZED (SELECT a_id, b_id, greatest(x.batch, y.batch) AS batch FROM ({finance._PAIRS}) JOIN b x ON x.id = a_id JOIN b y ON y.id = b_id),
         l AS MATERIALIZED (SELECT a_id AS x, b_id AS y, batch FROM p UNION ALL SELECT b_id, a_id, batch FROM p), {_REACH}, r AS MATERIALIZED ({_ROOTS})
         SELECT id, arg_max(root, batch) AS root, CAST(min(batch) FILTER (root = last) AS INTEGER) AS batch FROM (SELECT *, last_value(root) OVER (PARTITION BY id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM r) GROUP BY 1""",
+    "x17_clusters": _x17_sql(),
+    "x14_traces": """WITH o AS (SELECT o_orderkey AS inbox, o_orderstatus, o_orderpriority FROM orders), l AS (SELECT l_orderkey AS inbox, CAST(l_linenumber AS BIGINT) AS node, min(l_returnflag) AS label FROM lineitem WHERE l_orderkey IN (SELECT inbox FROM o) GROUP BY 1, 2),
+        k AS (SELECT * FROM l WHERE inbox % 3 <> 0 OR label = 'R'), b AS (SELECT inbox, 0::BIGINT AS node, NULL::BIGINT AS parent, 0::BIGINT AS seq, 'root' AS kind, 'order' AS label FROM o UNION ALL SELECT inbox, node, 0, node - 1, 'line', label FROM k)
+        SELECT * FROM b UNION ALL SELECT inbox, (SELECT max(node) FROM b WHERE b.inbox = o.inbox) + row_number() OVER (PARTITION BY inbox), 0, coalesce((SELECT max(seq) + 1 FROM b WHERE b.inbox = o.inbox AND parent IS NOT NULL), 0) + row_number() OVER (PARTITION BY inbox) - 1, 'error', o_orderstatus
+        FROM o WHERE o_orderpriority = '1-URGENT'""",
+    "x1_cursors": """SELECT event_type AS source, max(event_id) AS "at", CAST(2 AS BIGINT) AS batches FROM events WHERE day(ts) <= 7 OR day(ts) >= 22 GROUP BY 1""",
 }
 QUERIES = {name: globals()[name] for name in SQL}
