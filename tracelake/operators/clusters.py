@@ -24,7 +24,7 @@ CLUSTER_TABLES = {
 TRACE_TABLES = {"trace": Table("inbox long, node long, parent long, seq long, kind string, label string", ("inbox", "node"), ("inbox",))}
 CURSOR_TABLES = {"cursors": Table("source string, at long, batches long", ("source",), ("source",))}
 
-LIVE = F.col("status").isin("confirmed", "stale")
+LIVE = "status IN ('confirmed', 'stale')"
 
 
 def signed(sets: DataFrame, key: str) -> DataFrame:
