@@ -1,13 +1,17 @@
 import hashlib
+import os
 import random
 import re
 import struct
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.llm import chat_format, common, decontaminate, gru_lm, html_text, licenses, sentencepiece_tok, token_cache, toxicity
 from tracelake.shared import new_path
@@ -192,6 +196,41 @@ text</b>.<p>Short.</p><form><p>Sign up</p></form><div><p>Third paragraph, which
 <div id="comments"><p>A reader says something</p></div><aside>Side</aside><footer>Foot</footer></body></html>"""
 
 
+LONG = "A long sentence of the article that says what there is to say about it, and then some more of it."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<nav>Menu</nav><article><div class="entry-header"><h1>Title</h1></div><p>{LONG * 3}</p></article>', ["Title", LONG * 3]),
+        (f'<article><p>{LONG * 3}</p><h2 class="section-header">Part</h2><p class="share">Shared</p><p>{LONG}</p></article>', [LONG * 3, "Part", "Shared", LONG]),
+        (f'<div class="widget Blog"><p>{LONG * 2}</p><p>{LONG}</p></div><form>Your mail</form>', [LONG * 2, LONG]),
+        (f'<ul><li><a href=x>Menu</a></li></ul><h1>Title</h1><div><p>{LONG * 2}</p><p>{LONG}</p></div>', ["Title", LONG * 2, LONG]),
+        (f"<h1>Title</h1><article><p>{LONG * 2}</p></article><p>{LONG}</p>", ["Title", LONG * 2]),
+        (f"<div><p>{LONG * 9}</p><p>{LONG * 9}</p></div><div><p>Short end.</p></div>", [LONG * 9, LONG * 9, "Short end."]),
+        (f'<div class="ad">Buy this now, it is so good that you need it.</div><p>{LONG * 2}</p><p>{LONG}</p><div class="sidebar"><p>Nobody reads this.</p></div>', [LONG * 2, LONG]),
+        (f'<article><h1>T</h1><p>{LONG}</p><div id="comments"><p>{LONG * 2}</p></div><section class="user-comment"><p>{LONG}</p></section></article>', ["T", LONG]),
+        (f'<div class="cookie-notice"><p>We use cookies, do you agree to that?</p></div><div id=content><h1>T</h1><p>{LONG * 2}</p><p>tiny</p></div><div class=footer><p>c 2020</p></div>', ["T", LONG * 2, "tiny"]),
+        (f"<main><article><p>{LONG}</p></article><article><p>{LONG}</p></article></main>", [LONG, LONG]),
+    ],
+)
+def test_html_text_of_odd_pages(html, want):
+    assert html_text.main_text(f"<html><body>{html}</body></html>").split("\n") == want
+
+
+def test_html_text_of_all_pages(spark):
+    """Each page's text against its article's blocks, cut out with patterns; repeated rows and clashing columns stay apart."""
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    rows = pq.read_table(f"{sf}/pages.parquet").to_pylist()
+    blocks = lambda html: re.split(r"</?(?:h1|p|article)>", re.search(r"<article>.*</article>", html, re.S)[0])
+    plain = lambda x: " ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x))).split())
+    want = sorted((r["page_id"], r["url"], "\n".join(filter(None, map(plain, blocks(r["html"]))))) for r in rows)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumns({"text": F.lit("x"), "n_chars": F.lit("y")})
+    got = html_text.extracted(pages.unionByName(pages)).collect()
+    assert sorted((r["page_id"], r["url"], r["text"]) for r in got) == sorted(want + want)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_html_text(spark):
     want = "Head & title\nFirst bold text.\nShort.\nThird paragraph, which is long enough to matter é."
     pages = spark.createDataFrame([(1, "u", PAGE, 9), (2, None, None, 9), (3, "u", "", 9), (None, "u", "<p>cut off <b", 9), (4, "u", PAGE[: PAGE.index("Short.") + 6], 9)], "page_id long, url string, html string, n_chars int")

@@ -3,10 +3,14 @@
 The standard library's streaming parser turns a page into lines, one for each
 block of text, with the number of tags seen since the last line. The ratio of
 text to tags per line is smoothed with a Gaussian; lines above a threshold are
-clusters of content. Tags and names that mark menus, forms, adverts and the like
-leave out their blocks before that; where names would leave out all of a page,
-tags and roles alone do. The region is the smallest element that holds nearly
-all clustered text; all its remaining blocks are the main text.
+clusters of content. Tags and roles of menus, forms, asides and the like leave out
+their blocks before that, and so do comment sections and adverts; a name that
+such blocks often have lowers a line's ratio, so that it is content only where it
+carries the page. The articles and mains that hold clustered text are the region, if
+they hold half of it; else it is the smallest element that holds all of it. Its
+blocks are the main text, but for those that only their names or their links
+tell from it; a heading before the region and what follows it, and the elements
+beside the region and after its start, belong to it.
 
 A line knows the element it stands in, and an element the one around it, so a
 page takes time and memory in proportion to its length, however deep it is.
@@ -18,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,52 +49,73 @@ NAMES = frozenset(
     "sponsor sponsored subscribe toolbar widget".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Share of the clustered text that the region holds at least.
-REGION = 0.9
+#: Names that leave out a block wherever it stands, as a word of a name, and as a whole one.
+COMMENTS = frozenset("comment comments disqus".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsored promo promoted".split())
+#: What is left of a line's ratio if its block has one of NAMES.
+DOUBT = 0.25
+#: Share of its characters in links from which a line that isn't clustered is a menu's.
+LINKED = 0.6
 #: Elements that can be the region, and those that the region is widened to.
 CONTAINER = frozenset("article body center details div dl html main ol section table tbody td tr ul".split())
 WHOLE = frozenset(["article", "main"])
 
 
-#: Why a block is left out: not at all, by a name of its class or id, by its tag or role.
-KEPT, BY_NAME, BY_TAG = 0, 1, 2
+#: What is said against a block: nothing, a name of its class or id, its tag, role, or a name that decides.
+KEPT, BY_NAME, OUT = 0, 1, 2
+
+
+class _Line(NamedTuple):
+    """`tags` before it since the last line; what is said `against` it; the container it stands `at`."""
+
+    text: str
+    tags: int
+    against: int
+    at: int
+    title: bool
+    linked: bool
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags before it, why it is left out, and the container it stands in."""
+    """Lines of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        #: open elements: tag, number of the nearest container, why left out, hidden
+        #: open elements: tag, number of the nearest container, what is said against it, hidden
         self.open: list[tuple[str, int, int, bool]] = []
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[_Line] = []
         self.text: list[str] = []
         #: by a container's number the one around it; 0 is the page
         self.around: list[int] = [0]
         self.whole: set[int] = set()
         #: open elements by tag, and open blocks, so that a search that would fail isn't made
         self.count: Counter[str] = Counter()
-        self.tags = 0
+        self.tags = self.links = 0
 
     def flush(self) -> None:
         line = " ".join("".join(self.text).split())
         self.text = []
         if line:
-            _, container, left_out, _ = self.open[-1] if self.open else ("", 0, KEPT, False)
-            self.lines.append((line, self.tags, left_out, container))
-            self.tags = 0
+            tag, container, against, _ = self.open[-1] if self.open else ("", 0, KEPT, False)
+            self.lines.append(_Line(line, self.tags, against, container, self.count["h1"] > 0, self.links > LINKED * len(line)))
+            self.tags = self.links = 0
 
-    def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    def _against(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        inside = self.count["article"] or self.count["main"]
         if tag in LEFT_OUT:
-            return KEPT if tag == "header" and self.count["article"] else BY_TAG
-        why = KEPT
+            return KEPT if tag == "header" and self.count["article"] else OUT
+        against = KEPT
         for name, value in attrs:
             if name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return BY_TAG
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main") and value:
-                if NAMES.intersection(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())):
-                    why = BY_NAME
-        return why
+                return OUT
+            if name in ("class", "id") and tag not in ("html", "body", "main") and value:
+                names = value.lower().split()
+                words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
+                if COMMENTS.intersection(names) or COMMENTS & words and tag not in ("p", "span", "a") or ADVERTS.intersection(names):
+                    return OUT
+                if tag != "article" and not inside and NAMES & words:
+                    against = BY_NAME
+        return against
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -100,13 +126,13 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        _, container, left_out, hidden = self.open[-1] if self.open else ("", 0, KEPT, False)
+        _, container, against, hidden = self.open[-1] if self.open else ("", 0, KEPT, False)
         if tag in CONTAINER:
             self.around.append(container)
             container = len(self.around) - 1
             if tag in WHOLE:
                 self.whole.add(container)
-        self.open.append((tag, container, max(left_out, self._left_out(tag, attrs)), hidden or tag in HIDDEN))
+        self.open.append((tag, container, max(against, self._against(tag, attrs)), hidden or tag in HIDDEN))
         self.count[tag] += 1
 
     def _close(self, at: int) -> None:
@@ -147,6 +173,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][3]):
             self.text.append(data)
+            if self.count["a"]:
+                self.links += len(data.strip())
 
 
 def _lines(html: str) -> _Lines:
@@ -171,40 +199,58 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """Blocks of the main text, one on each line; empty if there are none."""
     page = _lines(html or "")
-    for allowed in (KEPT, BY_NAME):
-        lines = [(text, tags, at) for text, tags, why, at in page.lines if why <= allowed]
-        if lines:
-            return "\n".join(_selected(lines, page, sigma))
-    return ""
-
-
-def _selected(lines: list[tuple[str, int, int]], page: _Lines, sigma: float) -> list[str]:
-    """The lines of the region. A container's number is larger than those around it."""
-    sizes = np.array([len(t) for t, _, _ in lines], float)
-    ratios = smoothed(sizes / np.maximum(1, [tags for _, tags, _ in lines]), sigma)
-    content = ratios >= 0.5 * ratios.mean()
-    around, held, count = page.around, np.zeros(len(page.around)), np.zeros(len(page.around), np.int64)
-    for (_, _, at), size, chosen in zip(lines, sizes, content, strict=True):
-        held[at] += size * chosen
-        count[at] += 1
+    lines = [line for line in page.lines if line.against != OUT]
+    return "\n".join(line.text for line, kept in zip(lines, chosen(lines, page.around, page.whole, sigma), strict=True) if kept)
+
+
+def clustered(lines: list[_Line], sigma: float) -> np.ndarray:
+    """Which lines are content by their ratio of text to tags and that of the lines around them."""
+    ratios = np.array([len(x.text) / max(1, x.tags) * (DOUBT if x.against else 1) for x in lines])
+    near = smoothed(ratios, sigma)
+    near = np.where([x.against > KEPT for x in lines], np.minimum(near, ratios), near)  # a doubtful line isn't lifted by its neighbours
+    return near >= 0.5 * near.mean()
+
+
+def chosen(lines: list[_Line], around: list[int], whole: set[int], sigma: float) -> np.ndarray:
+    """Which lines are main text. A container's number is larger than those of the ones around it."""
+    if not lines:
+        return np.zeros(0, bool)
+    content = clustered(lines, sigma)
+    at = np.array([x.at for x in lines])
+    sizes = np.array([len(x.text) for x in lines], float) * content
+    held, count = np.zeros(len(around)), np.zeros(len(around), np.int64)
+    np.add.at(held, at, sizes)
+    np.add.at(count, at, 1)
     for element in range(len(around) - 1, 0, -1):  # what is in a container is in the one around it
         held[around[element]] += held[element]
         count[around[element]] += count[element]
-    region = int(np.flatnonzero(held >= REGION * float(sizes[content].sum()))[-1])
-    # One block that holds nearly everything stands for the element around it,
-    # and a part of an article for the article: the outermost one.
-    if region and count[region] == 1:
+    articles = np.zeros(len(around), bool)  # articles and mains with clustered text, and what is in them
+    for element in range(1, len(around)):
+        articles[element] = articles[around[element]] or element in whole and held[element] > 0
+    if sizes[articles[at]].sum() >= 0.5 * sizes.sum():
+        inside = articles[at]
+        if not any(x.title and i for x, i in zip(lines, inside, strict=True)):
+            inside |= _titled(lines, int(inside.argmax()))
+        return inside
+    region = int(np.flatnonzero(held >= held[0])[-1])
+    if region and count[region] == 1:  # one block that holds everything stands for the element around it
         region = around[region] or region
-    element = region
-    while element:
-        if element in page.whole:
-            region = element
-        element = around[element]
-    inside = np.zeros(len(around), bool)
-    inside[region] = True
+    within = np.zeros(len(around), bool)
+    within[region] = True
     for element in range(region + 1, len(around)):
-        inside[element] = inside[around[element]]
-    return [text for text, _, at in lines if inside[at] or not region]
+        # beside the region: in an element that comes after it and has the same one around it
+        within[element] = within[around[element]] or region > 0 and around[element] == around[region]
+    inside = within[at]
+    kept = inside & (content | np.array([x.against == KEPT and not x.linked for x in lines]))
+    return kept | _titled(lines, int(content.argmax()))
+
+
+def _titled(lines: list[_Line], first: int) -> np.ndarray:
+    """The last title before a line, and the blocks between them."""
+    out = np.zeros(len(lines), bool)
+    title = max((k for k in range(first) if lines[k].title and lines[k].against == KEPT), default=first)
+    out[title:first] = [x.against == KEPT and not x.linked for x in lines[title:first]]
+    return out
 
 
 def extracted(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
