@@ -30,10 +30,8 @@ WINDOW, STRIDE = 48, 32
 HIDDEN, DIM = 16, 16
 WORD_ROWS = GRAM_ROWS = 1 << 15
 GRAMS = (3, 4, 5, 6)
-#: Labelled rows with label 0 and with label 1 that training reads at most, chosen by a hash of the id.
+#: Labelled rows with label 0 and with label 1 that training reads at most, whole texts, chosen by a hash of the id.
 TRAIN_ROWS = (3000, 1500)
-#: Bytes of a text of the training sample, at most.
-TRAIN_BYTES = 1 << 17
 EPOCHS, ROUNDS, BATCH = 2, 4, 128
 #: Share of a batch's words that keep their own embedding in training.
 HEARD = 0.5
@@ -415,16 +413,16 @@ class _Scorer:
 def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = TRAIN_ROWS) -> tuple[pd.DataFrame, float]:
     """Texts and labels of at most `most` documents of either label that
     aren't held out, smallest hash of the id first; and the share of label 1
-    among all such labels. Labels or ids that are null teach nothing; of
-    several labels for an id the largest counts. Texts beyond TRAIN_BYTES teach
-    nothing, so that what the driver gets is bounded."""
+    among all such labels. Labels or ids that are null teach nothing, nor do
+    those of documents that aren't there; of several labels for an id the largest
+    counts. The driver gets that many texts, as long as they are."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(in_fold(F.col("doc_id"), 5) != 0)
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") >= 1, 1).otherwise(0)).alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    usable = usable.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     share = usable.agg(F.avg("toxic").alias("share")).first()["share"]
     picked = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[c]) for c in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # at most the sum of `most` rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.where(F.octet_length("text") <= TRAIN_BYTES)
     rows = texts.join(few, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
     return rows.toPandas().sort_values("doc_id"), float(share or 0.0)
 
