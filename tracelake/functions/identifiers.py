@@ -17,8 +17,11 @@ co.uk org.uk ac.uk gov.uk ltd.uk com.co edu.co gov.co net.co org.co com.mx org.m
 co.nz co.za co.in co.kr com.cn com.tw com.pe com.ec com.ve com.tr com.sg com.hk co.il com.es
 *.ck !www.ck *.bd *.kawasaki.jp !city.kawasaki.jp
 """
-FREE_MAIL = ("gmail.com", "googlemail.com", "hotmail.com", "outlook.com", "yahoo.com", "icloud.com", "proton.me", "live.com")
-ROLE_TOKENS = ("noreply", "notifications", "notification", "alerts", "mailer", "daemon", "newsletter", "postmaster", "donotreply")
+FREE_MAIL = (
+    "aol.com fastmail.com gmail.com gmx.com gmx.net googlemail.com hey.com hotmail.co.uk hotmail.com hotmail.es icloud.com live.com live.com.mx mac.com mail.com me.com msn.com "
+    "outlook.com outlook.es pm.me proton.me protonmail.com rocketmail.com tutanota.com yahoo.com yahoo.com.mx yahoo.es yandex.com ymail.com zoho.com"
+).split()
+ROLE_TOKENS = "bounce bounces daemon donotreply mailer noreply notification notifications notify postmaster".split()
 
 
 def email(value: Column) -> Column:
@@ -83,11 +86,11 @@ def registrable_domain(name: Column, rules: SuffixRules | None = None) -> Column
 
 
 def is_free_mail(address: Column) -> Column:
-    return F.substring_index(F.lower(address), "@", -1).isin(*FREE_MAIL)
+    return F.trim(F.substring_index(F.lower(address), "@", -1)).isin(*FREE_MAIL)
 
 
 def is_role(address: Column) -> Column:
     """A word of the local part, or the local part without separators, stands for a role."""
     local = F.substring_index(F.lower(address), "@", 1)
     flat = F.regexp_replace(local, "[^a-z]", "")
-    return F.arrays_overlap(F.split(local, "[^a-z]+"), F.array(*map(F.lit, ROLE_TOKENS))) | F.exists(F.array(*map(F.lit, ("noreply", "donotreply"))), lambda t: F.contains(flat, t))
+    return F.arrays_overlap(F.split(local, "[._+-]"), F.array(*map(F.lit, ROLE_TOKENS))) | F.exists(F.array(*map(F.lit, ("noreply", "donotreply"))), lambda t: F.contains(flat, t))

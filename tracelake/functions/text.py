@@ -2,14 +2,49 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and the letters without them (fixed values).
-MARKED = "áàâäãåéèêëíìîïóòôöõúùûüýÿñç"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyync"
-#: Legal forms at the end of a company's name (fixed values). "spa" is no legal form here.
-LEGAL_FORMS = ("sas", "sa", "ltda", "inc", "llc", "ltd", "gmbh", "corp", "co", "srl", "sl", "bv", "ag", "plc", "technologies", "grupo", "company")
+#: Words of a company's name that say its legal form or kind (fixed values). "spa" is none here.
+LEGAL_FORMS = (
+    "ag bv co company corp corporation eirl gmbh group grupo holding holdings inc incorporated kg kk limited llc llp ltd ltda ohg oy oyj plc pte pty "
+    "sa sac sapi sas sca scs sl slu srl technologies"
+).split()
+
+#: Hangul syllables stay whole: their parts tell them apart as well as they do themselves.
+HANGUL = range(0xAC00, 0xD7A4)
+
+
+@cache
+def _decompositions() -> tuple[str, str, str, str]:
+    """By Unicode's own tables: characters that stand for another one, without its
+    marks, and that one; marks after the former, which so have none; those that stand for several,
+    as a look-up string; and a pattern of these."""
+    one, plain, marks, several, found = [], [], [], [], []
+    for code in range(0x80, 0x30000):
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif code not in HANGUL and not 0xD800 <= code < 0xE000:
+            bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if len(bare) == 1 and bare != c:
+                one.append(c)
+                plain.append(bare)
+            elif bare != c:
+                several.append(f"\x01{c}\x02{bare}")
+                found.append(c)
+    return "".join(one + marks), "".join(plain), "".join(several) + "\x01", f"[{''.join(found)}]"
+
+
+def unmarked(text: Column) -> Column:
+    """Characters in their compatibility decomposition, without combining marks."""
+    one, plain, several, found = _decompositions()
+    piece = lambda c: F.substring_index(F.substring(F.lit(several), F.instr(F.lit(several), F.concat(F.lit("\x01"), c, F.lit("\x02"))) + 3, F.lit(24)), "\x01", 1)
+    spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(found), piece(c)).otherwise(c)), "")
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(F.when(text.rlike(found), spread).otherwise(text), one, plain)).otherwise(text)
 
 
 def normalized(text: Column) -> Column:
@@ -18,8 +53,8 @@ def normalized(text: Column) -> Column:
 
 
 def match_key(text: Column) -> Column:
-    """`normalized`, without accents."""
-    return F.translate(normalized(text), MARKED, PLAIN)
+    """`normalized`, without accents and with compatible characters as one."""
+    return normalized(unmarked(text))
 
 
 def org_core(name: Column) -> Column:

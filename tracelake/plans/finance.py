@@ -200,8 +200,8 @@ def u1_vertices(spark, d):
 
 
 def u5_difference(spark, d):
-    """Parts that were ordered against those there are: to add, to drop."""
-    want, have = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id")).distinct(), table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    """Parts that were ordered by 50 against the larger ones: to add, to drop."""
+    want, have = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("id")).distinct(), table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("id"))
     return want.join(have, "id", "left_anti").select("id", F.lit("add").alias("change")).unionByName(have.join(want, "id", "left_anti").select("id", F.lit("drop").alias("change")))
 
 
@@ -281,8 +281,8 @@ SQL = {
         FROM n a JOIN n b ON a.name < b.name WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.55""",
     "u1_vertices": """SELECT kind, count(*) AS n, min(id) AS low, max(id) AS high FROM (SELECT 'customer' AS kind, c_custkey AS id FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier
         UNION ALL SELECT 'part', p_partkey FROM part UNION ALL SELECT 'orders', o_orderkey FROM orders) GROUP BY 1""",
-    "u5_difference": """SELECT id, 'add' AS change FROM (SELECT l_partkey AS id FROM lineitem EXCEPT SELECT p_partkey FROM part)
-        UNION ALL SELECT id, 'drop' FROM (SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem)""",
+    "u5_difference": """SELECT id, 'add' AS change FROM (SELECT l_partkey AS id FROM lineitem WHERE l_quantity = 50 EXCEPT SELECT p_partkey FROM part WHERE p_size > 25)
+        UNION ALL SELECT id, 'drop' FROM (SELECT p_partkey AS id FROM part WHERE p_size > 25 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity = 50)""",
     "x_local_months": """SELECT month, hour, n FROM (SELECT CAST(date_trunc('month', l) AS DATE) AS month, CAST(extract(hour FROM l) AS INTEGER) AS hour, count(*) AS n
         FROM (SELECT (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Bogota' AS l FROM events) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY month ORDER BY n DESC, hour) = 1""",
 }

@@ -45,7 +45,7 @@ def e14_alike(spark, d):
     parts = table(spark, d, "part")
     kind = F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd")
     probe = F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 3 == 0, F.lit("x")))
-    left = parts.where("p_partkey % 10 = 1 OR p_partkey % 10 = 2").select(F.col("p_partkey").alias("id"), kind.alias("kind"), probe.alias("name"))
+    left = parts.select(F.col("p_partkey").alias("id"), kind.alias("kind"), probe.alias("name"))
     known = parts.groupBy(kind.alias("kind"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
     return identity.alike(left, known).select("id", "identity", F.round("score", 6).alias("score"), "decision")
 
@@ -238,7 +238,7 @@ SQL = {
         WHEN n IS NOT NULL THEN 'exact_name' WHEN a IS NOT NULL THEN 'alias' WHEN cn IS NOT NULL THEN 'exact_name' WHEN ca IS NOT NULL THEN 'alias'
         WHEN un IS NOT NULL THEN 'exact_name' WHEN ua IS NOT NULL THEN 'alias' END AS method FROM x""",
     "e14_alike": f"""WITH k AS (SELECT *, {_GRAMS} AS g FROM (SELECT p_partkey % 2 AS kind, p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1, 2)),
-        l AS (SELECT *, {_GRAMS} AS g FROM (SELECT p_partkey AS id, p_partkey % 2 AS kind, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' x' ELSE '' END AS name FROM part WHERE p_partkey % 10 IN (1, 2))),
+        l AS (SELECT *, {_GRAMS} AS g FROM (SELECT p_partkey AS id, p_partkey % 2 AS kind, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' x' ELSE '' END AS name FROM part)),
         s AS (SELECT l.id, k.id AS identity, len(list_intersect(l.g, k.g)) / len(list_distinct(list_concat(l.g, k.g))) AS score, levenshtein(l.name, k.name) AS e FROM l JOIN k ON l.kind = k.kind),
         b AS (SELECT * FROM s WHERE score >= 0.55 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, e, identity) = 1)
         SELECT l.id, identity, round(score, 6) AS score, CASE WHEN score >= 0.92 THEN 'merge' WHEN score IS NOT NULL THEN 'candidate' ELSE 'new' END AS decision FROM l LEFT JOIN b USING (id)""",

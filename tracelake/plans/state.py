@@ -141,9 +141,9 @@ def r23_focus(spark, d):
     """The suppliers of an order, those met one step on, and the edges between all these."""
     e = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     seeds = e.where("l_orderkey = 7").select(F.col("l_suppkey").alias("id"))
-    met = e.join(e.join(seeds, F.col("l_suppkey") == F.col("id"), "left_semi").where("l_orderkey % 10 = 7").select("l_orderkey").distinct(), "l_orderkey").select(F.col("l_suppkey").alias("id"))
+    met = e.join(e.join(seeds, F.col("l_suppkey") == F.col("id"), "left_semi").select("l_orderkey").distinct(), "l_orderkey").select(F.col("l_suppkey").alias("id"))
     inside = seeds.union(met).distinct()
-    few = e.where("l_orderkey % 10 = 7").join(inside, F.col("l_suppkey") == F.col("id"), "left_semi")
+    few = e.join(inside, F.col("l_suppkey") == F.col("id"), "left_semi")
     a, b = few.select("l_orderkey", F.col("l_suppkey").alias("a")), few.select("l_orderkey", F.col("l_suppkey").alias("b"))
     return a.join(b, "l_orderkey").where("a < b").groupBy("a", "b").agg(_n())
 
@@ -186,8 +186,8 @@ def s18_since_cursor(spark, d):
 
 
 def s29_unstored(spark, d):
-    """Pages that declare pictures of which none is stored."""
-    n = F.regexp_count("html", F.lit("<img"))
+    """Pages that declare linked files of which none is stored."""
+    n = F.regexp_count("html", F.lit("<a href"))
     stored = table(spark, d, "labels").select(F.col("doc_id").alias("page_id"))
     return table(spark, d, "pages").select("page_id", n.alias("declared")).where("declared > 0").join(stored, "page_id", "left_anti")
 
@@ -207,9 +207,9 @@ def w23_batch_of(spark, d):
 
 
 def w24_orphans(spark, d):
-    """Summaries that no link is left to after those of some messages are written anew."""
+    """Summaries that no link is left to after those of most messages are written anew."""
     links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("summary"), F.col("l_orderkey").alias("message")).distinct()
-    left = links.where("message % 5 > 0")
+    left = links.where("message % 40 = 0")
     return links.select("summary").distinct().join(left, "summary", "left_anti")
 
 
@@ -287,7 +287,7 @@ SQL = {
     "r19_pruned": """SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size > 10 JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0""",
     "r22_decisions": f"""SELECT event_id, user_id, event_type, evidence FROM (SELECT *, {_K} % 3 AS evidence FROM events)
         QUALIFY coalesce(lag(evidence) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <> evidence, true)""",
-    "r23_focus": """WITH e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), f AS (SELECT * FROM e WHERE o % 10 = 7), seeds AS (SELECT s FROM e WHERE o = 7),
+    "r23_focus": """WITH e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), f AS (SELECT * FROM e), seeds AS (SELECT s FROM e WHERE o = 7),
         i AS (SELECT s FROM seeds UNION SELECT s FROM f WHERE o IN (SELECT o FROM f WHERE s IN (FROM seeds)))
         SELECT x.s AS a, y.s AS b, count(*) AS n FROM f x JOIN f y ON x.o = y.o AND x.s < y.s WHERE x.s IN (FROM i) AND y.s IN (FROM i) GROUP BY 1, 2""",
     "r25_collapsed": f"""WITH RECURSIVE p AS ({_UP}), t AS (SELECT id, id AS ancestor, 0 AS steps FROM p UNION ALL SELECT t.id, p.parent, steps + 1 FROM t JOIN p ON p.id = t.ancestor WHERE p.parent IS NOT NULL),
@@ -299,12 +299,12 @@ SQL = {
     "e5_outcomes": f"""SELECT id, CASE WHEN status = 'P' THEN 'pending' WHEN row_number() OVER (PARTITION BY customer, "at" ORDER BY id) > 1 THEN 'duplicate' ELSE 'unique' END AS outcome FROM ({_T})""",
     "s18_since_cursor": """WITH c AS (SELECT user_id, max(ts) AS c FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-11' GROUP BY 1)
         SELECT user_id, count(*) AS n FROM events JOIN c USING (user_id) WHERE ts >= c - INTERVAL 1 DAY GROUP BY 1""",
-    "s29_unstored": """SELECT page_id, declared FROM (SELECT page_id, (length(html) - length(replace(html, '<img', ''))) // 4 AS declared FROM pages) WHERE declared > 0
+    "s29_unstored": """SELECT page_id, declared FROM (SELECT page_id, (length(html) - length(replace(html, '<a href', ''))) // 7 AS declared FROM pages) WHERE declared > 0
         AND page_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""",
     "w11_window_sizes": """SELECT user_id, min(CASE event_type WHEN 'view' THEN 40 WHEN 'click' THEN 25 WHEN 'error' THEN 10 ELSE 50 END) AS size FROM events WHERE value > 100 GROUP BY 1""",
     "w23_batch_of": """WITH w AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS window_no FROM conversations)
         SELECT w.* FROM w JOIN (SELECT conv_id, window_no FROM w WHERE turn = 3) t USING (conv_id, window_no)""",
-    "w24_orphans": """SELECT l_partkey AS summary FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_orderkey % 5 > 0) = 0""",
+    "w24_orphans": """SELECT l_partkey AS summary FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_orderkey % 40 = 0) = 0""",
     "x2_verdicts": f"""SELECT user_id, event_type, event_id, k > 90 AS manual FROM (SELECT *, {_K} AS k FROM events)
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY k > 90 DESC, ts, event_id) = 1""",
     "x6_suggestions": "SELECT lower(p_name || ' ' || p_brand) AS text, min(p_partkey) AS p_partkey, count(*) AS said FROM part WHERE p_size % 2 = 0 GROUP BY 1",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracelake.operators import latest
+from tracelake.operators import ingest, latest
 from tracelake.plans.messages import events, messages, table
 from tracelake.sources.tables import transactions
 
@@ -65,8 +65,8 @@ def a17_alerts(spark, d):
     failed = last.where("event_type = 'error'").select(F.lit(1).alias("severity"), F.lit("failed").alias("alert"), F.col("user_id").cast("string").alias("subject"))
     stale = last.where(F.col("ts") < F.expr(f"TIMESTAMP_NTZ'{NOW}' - INTERVAL 36 HOURS")).select(F.lit(2).alias("severity"), F.lit("stale").alias("alert"), F.col("user_id").cast("string").alias("subject"))
     backlog = e.groupBy("event_type").agg(F.count_if(_k() < 20).alias("n")).where("n >= 10").select(F.lit(3).alias("severity"), F.lit("backlog").alias("alert"), F.col("event_type").alias("subject"))
-    rank = F.row_number().over(Window.partitionBy("severity").orderBy("subject"))
-    return failed.unionByName(stale).unionByName(backlog).withColumn("place", rank)
+    rows = ingest.numbered(failed.unionByName(stale).unionByName(backlog), ["severity"], ["subject"])
+    return rows.withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def a25_mark_mining(spark, d):
