@@ -101,3 +101,45 @@ def dry_run(df: DataFrame, condition: Column, verdict: str, ident: str, samples:
         F.count_if(F.col(verdict).isNull()).alias("unverdicted"),
     )
     return counts.crossJoin(smallest)  # two single rows
+
+
+@dataclass(frozen=True)
+class MailRule:
+    """A predicate on the sender, a pattern on subject, body or either, or both of them."""
+
+    id: int
+    effect: str
+    sender_kind: str | None = None
+    sender_value: str | None = None
+    pattern: str | None = None
+    field: str | None = None
+
+
+def mail_matches(rule: MailRule, email: Column, list_id: Column, subject: Column, body: Column) -> Column:
+    """Whether a rule holds for a mail: all of its predicates that are there, at least
+    one. An empty sender, a field that isn't one, or a pattern that isn't safe holds
+    for none; an unknown kind of sender is an error. Patterns look at lower case."""
+    held = []
+    if rule.sender_kind is not None:
+        sides = {"sender_email": F.lower(F.trim(email)), "sender_domain": F.lower(F.substring_index(F.trim(email), "@", -1)), "list_id": F.lower(F.trim(list_id))}
+        if rule.sender_kind not in sides:
+            raise ValueError(f"no such kind of sender: {rule.sender_kind}")
+        value = (rule.sender_value or "").strip().lower()
+        held.append((sides[rule.sender_kind] == value) if value else F.lit(False))
+    if rule.pattern is not None:
+        fields = {"subject": [subject], "body": [body], "subject_or_body": [subject, body]}.get(rule.field or "", [])
+        found = [F.lower(F.coalesce(f, F.lit(""))).rlike(rule.pattern) for f in fields] if safe_pattern(rule.pattern) else []
+        held.append(F.greatest(*found) if len(found) > 1 else found[0] if found else F.lit(False))
+    out = F.lit(bool(held))
+    for h in held:
+        out = out & F.coalesce(h, F.lit(False))
+    return out
+
+
+def mail_decided(df: DataFrame, rules: list[MailRule], **columns: Column) -> DataFrame:
+    """`df` with block_id and allow_id, the first rule of either effect that holds, and the
+    decision: block, allow, conflict if both hold, null if none does."""
+    first = lambda effect: F.least(*([F.when(mail_matches(r, **columns), r.id) for r in rules if r.effect == effect] + [F.lit(None).cast("int")] * 2))
+    rows = df.withColumns({"block_id": first("block"), "allow_id": first("allow")})
+    both = F.when(F.col("block_id").isNotNull() & F.col("allow_id").isNotNull(), "conflict")
+    return rows.withColumn("decision", both.when(F.col("block_id").isNotNull(), "block").when(F.col("allow_id").isNotNull(), "allow"))

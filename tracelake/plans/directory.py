@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.functions import identifiers, json_text, text
-from tracelake.operators import dependencies, hierarchy, ingest
+from tracelake.operators import dependencies, hierarchy, ingest, rules
 from tracelake.sources.tables import events, table
 
 SALVAGED = (
@@ -53,6 +53,20 @@ def e30_links(spark, d):
     return got.join(names, "parent").select("idx", "child", "parent", F.trim("name").alias("parent_name"), "accepted")
 
 
+MAIL_RULES = [
+    rules.MailRule(1, "block", "sender_domain", " EN.example "), rules.MailRule(2, "allow", pattern="(the|der) [a-z]+ing", field="subject_or_body"), rules.MailRule(3, "block", "sender_email", "", "x", "body"),
+    rules.MailRule(4, "allow", "list_id", "web", "^[a-m]", "subject"), rules.MailRule(5, "block", pattern="que|une", field="subject"), rules.MailRule(6, "allow"), rules.MailRule(7, "block", pattern="(a+)+", field="body"),
+    rules.MailRule(8, "allow", "sender_domain", "de.example", "zz", "nowhere"),
+]
+
+
+def f15_mail_rules(spark, d):
+    """Documents as mail from their language's domain, on the list of their source, under rules on sender and text."""
+    docs = table(spark, d, "documents").withColumns({"_mail": F.concat(F.lit("A"), (F.col("doc_id") % 3).cast("string"), F.lit("@"), F.col("lang"), F.lit(".example")), "_subject": F.left("text", F.lit(60))})
+    got = rules.mail_decided(docs, MAIL_RULES, email=F.col("_mail"), list_id=F.col("source"), subject=F.col("_subject"), body=F.col("text"))
+    return got.select("doc_id", "block_id", "allow_id", "decision")
+
+
 def f8_domains(spark, d):
     """Registrable domains of hosts with endings of every kind of rule."""
     ending = F.get(F.lit(list(ENDINGS)), (F.col("doc_id") % len(ENDINGS)).cast("int"))
@@ -179,6 +193,10 @@ SQL = {
             SELECT t.turn, t.up, l.child, l.parent, low, list_reduce(list_prepend(l.parent, range(300)), lambda v, i: CASE WHEN v IS NULL OR v = l.child THEN v ELSE up[v - low + 1] END) IS DISTINCT FROM l.child AS good
             FROM t JOIN l ON l.turn = t.turn + 1, (SELECT min(s_suppkey) AS low FROM supplier)))
         SELECT idx, child, parent, coalesce(s_name, 'Holding ' || child % 4 || ' S.A.S.') AS parent_name, ok AS accepted FROM l JOIN t USING (turn) LEFT JOIN supplier ON s_suppkey = parent""",
+    "f15_mail_rules": """WITH m AS (SELECT doc_id, lang, source, lower(coalesce("text", '')) AS body, lower(coalesce("text"[:60], '')) AS subject FROM documents),
+        b AS (SELECT doc_id, CAST(CASE WHEN lower(lang) = 'en' THEN 1 WHEN regexp_matches(subject, 'que|une') THEN 5 END AS INTEGER) AS block_id,
+          CAST(CASE WHEN regexp_matches(subject, '(the|der) [a-z]+ing') OR regexp_matches(body, '(the|der) [a-z]+ing') THEN 2 WHEN lower(trim(source)) = 'web' AND regexp_matches(subject, '^[a-m]') THEN 4 END AS INTEGER) AS allow_id FROM m)
+        SELECT *, CASE WHEN block_id IS NOT NULL AND allow_id IS NOT NULL THEN 'conflict' WHEN block_id IS NOT NULL THEN 'block' WHEN allow_id IS NOT NULL THEN 'allow' END AS decision FROM b""",
     "f8_domains": _f8_sql(),
     "f25_salvaged": f"""WITH r AS (SELECT event_id, props, replace(({_SHAPES})[event_id % {len(SALVAGED)} + 1], '{{0}}', props) AS content FROM events), c AS (SELECT *, trim(content, ' ' || chr(10)) AS t FROM r),
         o AS (SELECT *, CASE WHEN json_valid(t) THEN t WHEN {_FIRST_OF.format("{")} <= {_FIRST_OF.format("[")} THEN coalesce({_OUTER.format("{", "}")}, {_OUTER.format("[", "]")}) ELSE coalesce({_OUTER.format("[", "]")}, {_OUTER.format("{", "}")}) END AS found, {_BALANCED} AS balanced FROM c)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import clusters, consolidate
+from tracelake.operators import calendar_sync, clusters, consolidate, senders
 from tracelake.plans import finance
 from tracelake.shared import new_path
 from tracelake.sources.tables import events, table, transactions
@@ -79,6 +79,56 @@ def x1_cursors(spark, d):
     return at.table("cursors")
 
 
+def _messages(spark, d):
+    """Orders as messages of three media, by their number."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda x: x.cast("string")
+    medium = F.when(k % 3 == 0, "chat").when(k % 3 == 1, "social").otherwise("email")
+    box = F.when(c % 4 == 0, "No-Reply").when(c % 4 == 1, F.concat(F.lit("jane.doe"), text(c % 30), F.lit("+x"))).when(c % 4 == 2, "mailer").otherwise(F.concat(F.lit("joe"), text(c)))
+    domain = F.when(c % 5 == 0, "gmail.com").otherwise(F.concat(F.lit("mail.d"), text(c % 40), F.lit(".co.uk")))
+    return table(spark, d, "orders").select(
+        k.alias("message"), medium.alias("medium"), F.when(c % 17 > 0, text(c % 200)).alias("sender"), F.when(c % 3 > 0, F.concat(F.lit("@User"), text(c % 90))).alias("account"),
+        F.when(k % 4 == 0, F.concat(F.lit(" Firm "), text(c % 25), F.lit(" Ltd."))).when(k % 4 == 1, "").alias("name"), (c % 11 == 0).alias("bot"), F.when(c % 2 == 0, "X").otherwise("insta").alias("platform"),
+        F.concat(box, F.lit("@"), domain).alias("email"),
+    )
+
+
+def e15_senders(spark, d):
+    """Senders of all messages, in three batches by number: each message's entry, with its name."""
+    store = Store(spark, new_path(spark, "directory"), senders.DIRECTORY_TABLES, 4)
+    people = table(spark, d, "supplier").where("s_suppkey < 10").select(F.col("s_suppkey").alias("id"), F.lit(senders.PERSON).alias("kind"), F.col("s_name").alias("name"))
+    mails = people.select(F.lit("email").alias("platform"), F.lit("email").alias("kind"), F.concat(F.lit("jane.doe"), F.col("id").cast("string"), F.lit("@mail.d1.co.uk")).alias("value"), "id")
+    at = store.commit(store.snapshot(), {"identities": people.withColumn("gone", F.lit(False)), "identifiers": mails.withColumn("gone", F.lit(False))})
+    rows, found = _messages(spark, d), []
+    most = rows.agg(F.max("message")).first()[0] + 1
+    for k in range(3):
+        at, mentions = senders.resolved_senders(store, at, rows.where((F.col("message") >= most * k // 3) & (F.col("message") < most * (k + 1) // 3)))
+        found.append(mentions)
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.join(at.table("identities").select("id", "name"), "id").select("message", "kind", "name")
+
+
+def _provider(spark, d, run: int):
+    """Orders as a provider's events: other etags and titles in the second run, every ninth one deleted."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").where((k % 3 > 0) if run == 0 else (k % 3 < 2)).select(
+        (k % 5).alias("account"), F.concat(F.lit("e"), k.cast("string")).alias("event"), ((k % 9 == 0) & F.lit(run > 0)).alias("deleted"), F.lit(1).alias("seq"), F.concat("o_orderpriority", F.lit(str(run))).alias("title"),
+        F.to_date("o_orderdate").alias("starts_on"), F.lit(None).cast("date").alias("ends_on"), F.lit("confirmed").alias("status"), F.when(k % 7 > 0, F.when(k % 4 == 0, str(run)).otherwise("same")).alias("etag"), F.when(k % 13 == 0, k).alias("echo_of"),
+    )
+    older = rows.withColumns({"seq": F.lit(0), "title": F.lit("older"), "etag": F.lit("older")})
+    return rows.unionByName(older)
+
+
+def e24_synced(spark, d):
+    """Two answers of a provider: each entry as it then is, with its changes."""
+    store = Store(spark, new_path(spark, "calendar"), calendar_sync.TABLES, 4)
+    at = store.snapshot()
+    for run in range(2):
+        at = calendar_sync.synced(store, at, _provider(spark, d, run), run)
+    log = at.table("changes").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "action"))), lambda x: F.concat_ws(" ", x["run"].cast("string"), x["action"])), ", ").alias("changes"))
+    return at.table("entries").join(log, "id").select("account", "event", "title", "status", "etag", "manual", "priority_rank", "changes")
+
+
 _BY = "CASE " + " ".join(f"WHEN \"at\" < TIMESTAMP '{day}' THEN {k}" for k, day in enumerate(BATCHES)) + " END"
 _ROOTS = " UNION ALL ".join(
     f"""SELECT {k} AS batch, x AS id, min(y) AS root FROM (SELECT id AS x, id AS y FROM b WHERE batch <= {k} UNION ALL SELECT x, y FROM reach{k}) GROUP BY 2""" for k in range(len(BATCHES))
@@ -121,10 +171,31 @@ def _x17_sql() -> str:
     raise AssertionError
 
 
+#: The same, one message after another: a name is that of the entry's first message, but the last of a batch for people.
+_E15 = """WITH m AS (SELECT o_orderkey AS message, CAST(o_orderkey * 3 // ((SELECT max(o_orderkey) FROM orders) + 1) AS BIGINT) AS batch, CASE o_orderkey % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'social' ELSE 'email' END AS medium, o_custkey AS c,
+      CASE WHEN o_custkey % 17 > 0 THEN CAST(o_custkey % 200 AS VARCHAR) END AS sender, CASE WHEN o_custkey % 3 > 0 THEN 'user' || o_custkey % 90 END AS handle,
+      CASE WHEN o_orderkey % 4 = 0 THEN ' Firm ' || o_custkey % 25 || ' Ltd.' END AS name, 'd' || o_custkey % 40 || '.co.uk' AS domain FROM orders),
+    firsts AS (SELECT sender, min(batch) AS batch FROM m WHERE medium = 'chat' AND sender IS NOT NULL AND c % 11 > 0 GROUP BY 1),
+    people AS (SELECT sender, m.batch, arg_max(handle, message) FILTER (handle IS NOT NULL OR true) AS h0, max(message) AS last FROM m JOIN firsts USING (sender, batch) WHERE medium = 'chat' AND c % 11 > 0 GROUP BY 1, 2),
+    seen AS (SELECT p.sender, p.batch, m.handle, coalesce(m.name, '@' || m.handle, 'chat ' || p.sender) AS shown FROM people p JOIN m ON m.message = p.last),
+    owner AS (SELECT *, first_value(shown) OVER (PARTITION BY coalesce('@' || handle, '#' || sender) ORDER BY batch, sender) AS entry FROM seen),
+    named AS (SELECT domain, min(message) AS since FROM m WHERE medium = 'email' AND c % 4 IN (0, 2) AND c % 5 > 0 AND name IS NOT NULL GROUP BY 1),
+    firm AS (SELECT domain, since, first_value(name) OVER (PARTITION BY trim(name) ORDER BY since) AS entry FROM named JOIN m USING (domain) WHERE message = since)
+    SELECT message, 'person' AS kind, entry AS name FROM m JOIN owner USING (sender) WHERE medium = 'chat' AND c % 11 > 0
+    UNION ALL SELECT message, 'unknown', '@User' || c % 90 FROM m WHERE medium = 'social' AND handle IS NOT NULL
+    UNION ALL SELECT message, 'person', s_name FROM m JOIN supplier ON s_suppkey = c % 30 WHERE medium = 'email' AND c % 4 = 1 AND c % 5 > 0 AND c % 40 = 1 AND s_suppkey < 10
+    UNION ALL SELECT message, 'company', trim(entry) FROM m JOIN firm USING (domain) WHERE medium = 'email' AND c % 4 IN (0, 2) AND c % 5 > 0 AND message >= since"""
+
 SQL = {
     "e10_incremental": f"""WITH RECURSIVE b AS MATERIALIZED (SELECT id, {_BY} AS batch FROM ({finance._T})), p AS MATERIALIZED (SELECT a_id, b_id, greatest(x.batch, y.batch) AS batch FROM ({finance._PAIRS}) JOIN b x ON x.id = a_id JOIN b y ON y.id = b_id),
         l AS MATERIALIZED (SELECT a_id AS x, b_id AS y, batch FROM p UNION ALL SELECT b_id, a_id, batch FROM p), {_REACH}, r AS MATERIALIZED ({_ROOTS})
         SELECT id, arg_max(root, batch) AS root, CAST(min(batch) FILTER (root = last) AS INTEGER) AS batch FROM (SELECT *, last_value(root) OVER (PARTITION BY id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM r) GROUP BY 1""",
+    "e15_senders": _E15,
+    "e24_synced": """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders), x AS (SELECT *, k % 3 > 0 AS a, k % 3 < 2 AND k % 9 > 0 AS b, k % 3 < 2 AND k % 9 = 0 AS del,
+          CASE WHEN k % 7 > 0 AND k % 4 > 0 THEN true ELSE false END AS same FROM o), y AS (SELECT *, b AND NOT (a AND same) AS fresh FROM x WHERE a OR b)
+        SELECT k % 5 AS account, 'e' || k AS event, p || CASE WHEN fresh THEN 1 ELSE 0 END AS title, CASE WHEN del THEN 'cancelled' ELSE 'confirmed' END AS status,
+        CASE WHEN k % 7 > 0 THEN CASE WHEN k % 4 = 0 THEN CASE WHEN fresh THEN '1' ELSE '0' END ELSE 'same' END END AS etag, k % 13 <> 0 AS manual, CASE WHEN k % 13 <> 0 THEN 100 ELSE 0 END AS priority_rank,
+        array_to_string(list_filter([CASE WHEN a THEN '0 created' END, CASE WHEN a AND del THEN '1 deleted' WHEN a AND fresh THEN '1 modified' WHEN b AND NOT a THEN '1 created' END], lambda c: c IS NOT NULL), ', ') AS changes FROM y""",
     "x17_clusters": _x17_sql(),
     "x14_traces": """WITH o AS (SELECT o_orderkey AS inbox, o_orderstatus, o_orderpriority FROM orders), l AS (SELECT l_orderkey AS inbox, CAST(l_linenumber AS BIGINT) AS node, min(l_returnflag) AS label FROM lineitem WHERE l_orderkey IN (SELECT inbox FROM o) GROUP BY 1, 2),
         k AS (SELECT * FROM l WHERE inbox % 3 <> 0 OR label = 'R'), b AS (SELECT inbox, 0::BIGINT AS node, NULL::BIGINT AS parent, 0::BIGINT AS seq, 'root' AS kind, 'order' AS label FROM o UNION ALL SELECT inbox, node, 0, node - 1, 'line', label FROM k)
