@@ -3,6 +3,7 @@
 import heapq
 import json
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +215,15 @@ def test_answers_are_json(spark):
         except ValueError:
             want = []
         assert [(x["child_id"], x["parent_id"]) for x in r["x"]] == [(x.get("child_id"), x.get("parent_id")) for x in want]
+
+
+def test_names_in_their_compatible_form(spark):
+    words = ["Café ﬁn ½ Ⅷ Ångström ĳ ǅ 𝔘 가나", "plain", "İSTANBUL", "ß ø æ", "x̧́y", "①②", ""]
+    rows = spark.createDataFrame([(w,) for w in words], "t string").select("t", text.unmarked(F.col("t")).alias("u"), text.match_key(F.col("t")).alias("k")).collect()
+    for r in rows:
+        assert r["u"] == "".join(c for x in r["t"] for c in (x if 0xAC00 <= ord(x) < 0xD7A4 else unicodedata.normalize("NFKD", x)) if not unicodedata.combining(c))
+    assert {r["t"]: r["k"] for r in rows}["İSTANBUL"] == "istanbul"
+    names = {"Acme Holdings PLC": "acme", "Kabushiki K.K.": "kabushiki", "Müller & Co. KG": "muller", "Grupo Éxito S.A.C.": "exito", "Oxford Spa": "oxford spa"}
+    assert {r["n"]: r["c"] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", text.org_core(F.col("n")).alias("c")).collect()} == names
+    roles = {"bounces+7@x.com": True, "notify@x.com": True, "jo.newsletter@x.com": False, "no_reply@x.com": True, "ann@x.com": False}
+    assert {r["a"]: r["r"] for r in spark.createDataFrame([(a,) for a in roles], "a string").select("a", identifiers.is_role(F.col("a")).alias("r")).collect()} == roles

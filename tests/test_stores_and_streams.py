@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.operators import clusters, consolidate
-from tracelake.operators.rules import Rule
+from tracelake.operators import calendar_sync, clusters, consolidate, senders
+from tracelake.operators.rules import MailRule, Rule, mail_matches
 from tracelake.sources import polling
 from tracelake.store import Conflict, Store, Table
 from tracelake.streaming import live, notices
@@ -219,3 +219,54 @@ def test_conditions_reach_the_reader(spark, tmp_path):
     polling.registered(spark)
     rows = spark.read.format("polled").options(path=f"{tmp_path}/in", id="event_id", account="user_id").load()
     assert sorted(r["event_id"] for r in rows.where("event_id > 10 AND user_id = 2 AND value < 30").collect()) == [12, 17, 22, 27]
+
+
+MESSAGES = "message long, medium string, sender string, account string, name string, bot boolean, platform string, email string"
+
+
+def test_senders_by_medium(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/d", senders.DIRECTORY_TABLES, 2)
+    at = store.commit(store.snapshot(), {
+        "identities": spark.createDataFrame([(1, "person", "Ann", False), (2, "company", "Acme S.A.", False), (3, "person", "Bob", False)], "id long, kind string, name string, gone boolean"),
+        "identifiers": spark.createDataFrame([("email", "email", "ann@acme.com", 1, False), ("domain", "domain", "known.com", 2, False), ("chat", "handle", "bob", 3, False)], "platform string, kind string, value string, id long, gone boolean"),
+    })
+    mail = lambda n, address, name=None: (n, "email", None, None, name, None, None, address)
+    rows = [
+        mail(1, "Ann+x@acme.com"), mail(2, "other@acme.com", "Other"), mail(3, "someone@gmail.com"), mail(4, "noreply@mail.known.com"), mail(5, "noreply@new.com"), mail(6, "no-reply@x.new.com", " ACME Inc "), mail(7, "mailer@new.com"),
+        mail(8, "mailer@fresh.com", "Fresh"), mail(9, "nothing"), mail(10, None), mail(11, "noreply@gmail.com", "Gmail"),
+        (20, "chat", "77", "@Bob", "Robert", False, None, None), (21, "chat", "88", None, None, False, None, None), (22, "chat", "99", "@cy", "Cy", True, None, None), (23, "chat", "55", "@dee", "Dee", None, None, None), (24, "chat", "66", "@Dee", "D2", None, None, None),
+        (30, "social", None, "@Shop", None, None, " Insta ", None), (31, "social", None, "shop", None, None, "insta", None), (32, "social", None, "shop", None, None, "x", None), (33, "social", None, "@", None, None, "x", None),
+    ]
+    at, found = senders.resolved_senders(store, at, spark.createDataFrame(rows, MESSAGES))
+    names = {r["id"]: r["name"] for r in at.table("identities").collect()}
+    got = {r["message"]: (r["kind"], names[r["id"]]) for r in found.collect()}
+    assert got == {
+        1: ("person", "Ann"), 4: ("company", "Acme S.A."), 6: ("company", "Acme S.A."), 7: ("company", "Acme S.A."), 8: ("company", "Fresh"), 20: ("person", "Bob"), 21: ("person", "chat 88"), 23: ("person", "Dee"), 24: ("person", "Dee"),
+        30: ("unknown", "@Shop"), 31: ("unknown", "@Shop"), 32: ("unknown", "shop"),
+    }
+    again, found = senders.resolved_senders(store, at, spark.createDataFrame([mail(40, "noreply@new.com"), (41, "chat", "66", None, None, None, None, None), (42, "social", None, "SHOP", None, None, "x", None)], MESSAGES))
+    assert {r["message"]: names[r["id"]] for r in found.collect()} == {40: "Acme S.A.", 41: "Dee", 42: "shop"} and again.table("identities").count() == len(names)
+
+
+def test_calendar_changes_are_logged(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/c", calendar_sync.TABLES, 2)
+    ddl = "account long, event string, deleted boolean, seq long, title string, etag string, echo_of long"
+    rows = lambda *r: spark.createDataFrame(r, ddl).withColumns({"starts_on": F.lit(None).cast("date"), "ends_on": F.lit(None).cast("date"), "status": F.lit("confirmed")})
+    at = calendar_sync.synced(store, store.snapshot(), rows((1, "a", None, 0, "A", "1", None), (1, "b", False, 0, "B", None, 5), (1, "b", False, 1, "B2", None, 5), (1, "z", True, 0, "Z", "1", None)), 0)
+    at = calendar_sync.synced(store, at, rows((1, "a", False, 0, "other", "1", None), (1, "b", False, 0, "B3", None, 5), (2, "a", False, 0, "A of 2", "1", None)), 1)
+    at = calendar_sync.synced(store, at, rows((1, "a", True, 0, None, None, None)), 2)
+    assert sorted((r["id"], r["title"], r["status"], r["manual"], r["priority_rank"]) for r in at.table("entries").collect()) == [(0, "A", "cancelled", True, 100), (1, "B3", "confirmed", False, 0), (2, "A of 2", "confirmed", True, 100)]
+    assert sorted((r["run"], r["id"], r["action"]) for r in at.table("changes").collect()) == [(0, 0, "created"), (0, 1, "created"), (1, 1, "modified"), (1, 2, "created"), (2, 0, "deleted")]
+
+
+def test_mail_rules_hold_by_all_their_predicates(spark):
+    mail = spark.createDataFrame([("A@X.com", "News", "Big Sale today", "hello"), ("b@y.com", None, None, "a sale here"), (None, None, None, None)], "email string, list_id string, subject string, body string")
+    columns = {c: F.col(c) for c in mail.columns}
+    held = lambda rule: [r[0] for r in mail.select(mail_matches(rule, **columns)).collect()]
+    assert held(MailRule(1, "block", "sender_email", " a@x.COM ")) == [True, False, False]
+    assert held(MailRule(1, "block", "sender_domain", "y.com")) == [False, True, False] and held(MailRule(1, "block", "list_id", "news")) == [True, False, False]
+    assert held(MailRule(1, "block", pattern="sale", field="subject_or_body")) == [True, True, False]
+    assert held(MailRule(1, "block", "sender_domain", "x.com", "hello", "subject")) == [False] * 3
+    assert held(MailRule(1, "block")) == held(MailRule(1, "block", "list_id", "  ")) == held(MailRule(1, "block", pattern="(a+)+", field="body")) == held(MailRule(1, "block", pattern="a", field="date")) == [False] * 3
+    with pytest.raises(ValueError, match="no such kind"):
+        held(MailRule(1, "block", "phone", "1"))

@@ -61,8 +61,9 @@ def a42_trace_costs(spark, d):
     calls = events(spark, d).groupBy("user_id").agg(F.sum("value").alias("cost"), F.count(F.lit(1)).alias("calls"))
     nodes = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("nodes"))
     own = s.join(calls, "user_id", "left").join(nodes, "user_id").select("id", (F.coalesce("cost", F.lit(0.0)) / F.col("nodes")).alias("own"), F.coalesce("calls", F.lit(0)).alias("calls"))
-    whole = e18_ancestors(spark, d).join(own, "id").groupBy(F.col("ancestor").alias("id")).agg(F.round(F.sum("own"), 4).alias("whole"), F.sum("calls").alias("calls"))
-    return whole.join(own.select("id", F.round("own", 4).alias("own")), "id").select("id", "own", "whole", "calls")
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") > 0, F.floor(F.col("s_suppkey") / 3)).alias("parent")).join(own, "id")
+    whole = hierarchy.toured(nodes.withColumn("seq", F.col("id")), "seq", ("own", "calls"))
+    return whole.select("id", F.round("own", 4).alias("whole"), F.col("calls").cast("long").alias("calls")).join(own.select("id", F.round("own", 4).alias("own")), "id").select("id", "own", "whole", "calls")
 
 
 def e23_upserted(spark, d):
