@@ -1,5 +1,6 @@
 """Hierarchies, links, dependencies, domains, JSON in text and backfills against plain versions."""
 
+import datetime
 import heapq
 import json
 import random
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import identifiers, json_text, text
-from tracelake.operators import dependencies, hierarchy, ingest
+from tracelake.operators import dependencies, hierarchy, ingest, places
 
 
 def one_by_one(parents, links):
@@ -227,3 +228,22 @@ def test_names_in_their_compatible_form(spark):
     assert {r["n"]: r["c"] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", text.org_core(F.col("n")).alias("c")).collect()} == names
     roles = {"bounces+7@x.com": True, "notify@x.com": True, "jo.newsletter@x.com": False, "no_reply@x.com": True, "ann@x.com": False}
     assert {r["a"]: r["r"] for r in spark.createDataFrame([(a,) for a in roles], "a string").select("a", identifiers.is_role(F.col("a")).alias("r")).collect()} == roles
+
+
+def test_places_of_transactions(spark):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    tx = [
+        (1, 7, at(100), "cafe lunar", True, None), (2, 7, at(5000), "x", True, False), (3, 7, at(1000), "y", False, None), (4, 8, at(100), "z", True, None), (5, 7, at(110), "w", True, True), (6, 7, at(2010), "far", True, None),
+        (7, 7, at(4000), "still", True, None), (8, None, None, None, None, None),
+    ]
+    fixes = [(7, at(90), 4.00005, -74.0), (7, at(300), 4.0001, -74.0), (7, at(2000), 4.5, -74.0), (7, at(4100), 4.5, -74.0)]
+    cells = [("4.0000", "-74.0000", "Café Lunar Bogotá")]
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    got = places.enriched(
+        frame(tx, "id long, user long, at timestamp_ntz, place string, exact boolean, done boolean"), frame(fixes, "user long, at timestamp_ntz, lat double, lng double"),
+        frame(cells, "lat string, lng string, name string").select(F.col("lat").cast("decimal(18,4)").alias("lat"), F.col("lng").cast("decimal(18,4)").alias("lng"), "name"), 600,
+    ).collect()
+    assert {r["id"]: tuple(r)[2:] for r in got} == {
+        1: ("resolved", "Café Lunar Bogotá", "cafe lunar", True), 2: ("no_fix", "x", None, None), 3: ("skipped", "y", None, None), 4: ("no_fix", "z", None, None), 5: ("skipped", "w", None, None),
+        6: ("in_transit", "far", None, None), 7: ("no_result", "still", None, None), 8: ("skipped", None, None, None),
+    }

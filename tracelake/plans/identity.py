@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
-from tracelake.operators import hierarchy, identity, joins
+from tracelake.operators import hierarchy, identity, joins, places
 from tracelake.sources.tables import events, messages, table, transactions
 
 
@@ -86,6 +86,19 @@ def e26_cells(spark, d):
     return e.withColumn("speed", moved / seconds).select("event_id", F.bround(F.col("value").cast("decimal(18,2)") / 1000, 4).cast("double").alias("cell"), F.coalesce(F.col("speed") > 1.5, F.lit(False)).alias("in_transit"))
 
 
+def e27_places(spark, d):
+    """Purchases with the place of the nearest view or click of their user within three
+    hours; cells that a sign-up has been in have a place."""
+    e = events(spark, d)
+    k = F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(0))
+    lat, lng = F.col("value") / 1000, (k % 3) / 100
+    spot = F.concat(F.lit("Spot "), (k % 10).cast("string"))
+    buys = e.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.col("ts").alias("at"), spot.alias("place"), (k % 7 > 0).alias("exact"), (k % 11 == 0).alias("done"))
+    fixes = e.where("event_type IN ('view', 'click')").select(F.col("user_id").alias("user"), F.col("ts").alias("at"), lat.alias("lat"), lng.alias("lng"))
+    cells = e.where("event_type = 'signup'").groupBy(places.cell(lat).alias("lat"), places.cell(lng).alias("lng")).agg(F.min_by(F.concat(F.lit("the "), F.lower(spot)), "event_id").alias("name"))
+    return places.enriched(buys, fixes, cells, 3 * 3600).drop("user")
+
+
 def e28_promoted(spark, d):
     """Kinds of the unknown after a classification that knows some of them; others keep theirs."""
     found = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 5000, "company").otherwise("person").alias("found"))
@@ -256,6 +269,18 @@ SQL = {
         FROM x WHERE NOT (change = 'deleted' AND n IS NULL)""",
     "e26_cells": """SELECT event_id, (c // 10 + CASE WHEN c % 10 > 5 OR (c % 10 = 5 AND c // 10 % 2 = 1) THEN 1 ELSE 0 END) / 10000 AS cell, coalesce(abs(value / 1000 - lag(value / 1000) OVER w) * 111000 / ((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6) > 1.5, false) AS in_transit
         FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS c FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+    "e27_places": """WITH e AS (SELECT *, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, value / 1000 AS lat FROM events),
+        r AS (SELECT *, k % 3 / 100 AS lng, CAST(round(value * 100) AS BIGINT) AS h FROM e), q AS (SELECT *, h // 10 + CASE WHEN h % 10 > 5 OR (h % 10 = 5 AND h // 10 % 2 = 1) THEN 1 ELSE 0 END AS clat, k % 3 AS clng FROM r),
+        f AS (SELECT *, coalesce(sqrt(pow((lat - lag(lat) OVER w) * 111000, 2) + pow((lng - lag(lng) OVER w) * 111000 * cos(radians(lat)), 2)) / nullif((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 0) > 1.5, false) AS in_transit
+          FROM q WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY ts, lat, lng)),
+        c AS (SELECT clat, clng, arg_min('the spot ' || k % 10, event_id) AS name FROM q WHERE event_type = 'signup' GROUP BY 1, 2),
+        b AS (SELECT event_id AS id, 'Spot ' || k % 10 AS place, ts, user_id, k FROM q WHERE event_type = 'purchase'), t AS (SELECT * FROM b WHERE k % 7 > 0 AND k % 11 <> 0),
+        n AS (SELECT t.id, arg_min(f.event_id, (abs(epoch_us(t.ts) - epoch_us(f.ts)), f.ts)) AS fix FROM t JOIN f ON f.user_id = t.user_id AND abs(epoch_us(t.ts) - epoch_us(f.ts)) <= 10800000000 GROUP BY 1),
+        g AS (SELECT t.id, t.place, CASE WHEN fix IS NULL THEN 'no_fix' WHEN in_transit THEN 'in_transit' WHEN name IS NULL THEN 'no_result' ELSE 'resolved' END AS outcome, name
+          FROM t LEFT JOIN n ON n.id = t.id LEFT JOIN f ON f.event_id = fix LEFT JOIN c ON c.clat = f.clat AND c.clng = f.clng)
+        SELECT id, outcome, CASE WHEN outcome = 'resolved' THEN name ELSE place END AS place, CASE WHEN outcome = 'resolved' THEN place END AS place_extracted,
+        CASE WHEN outcome = 'resolved' THEN contains(name, lower(place)) END AS matches_extracted FROM g
+        UNION ALL SELECT id, 'skipped', place, NULL, NULL FROM b WHERE NOT (k % 7 > 0 AND k % 11 <> 0)""",
     "e28_promoted": f"""SELECT id, CASE WHEN kind = 'unknown' AND s_acctbal > 5000 THEN 'company' WHEN kind = 'unknown' AND s_acctbal > 0 THEN 'person' ELSE kind END AS kind
         FROM ({_KNOWN}) JOIN supplier ON s_suppkey = id""",
     "f16_decided": f"""SELECT *, CASE WHEN block_id IS NOT NULL AND allow_id IS NOT NULL THEN 'conflict' WHEN block_id IS NOT NULL THEN 'block' WHEN allow_id IS NOT NULL THEN 'allow' END AS decision
