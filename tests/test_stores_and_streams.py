@@ -270,3 +270,12 @@ def test_mail_rules_hold_by_all_their_predicates(spark):
     assert held(MailRule(1, "block")) == held(MailRule(1, "block", "list_id", "  ")) == held(MailRule(1, "block", pattern="(a+)+", field="body")) == held(MailRule(1, "block", pattern="a", field="date")) == [False] * 3
     with pytest.raises(ValueError, match="no such kind"):
         held(MailRule(1, "block", "phone", "1"))
+
+
+def test_owners_of_a_domain(spark):
+    mails = spark.createDataFrame([(1, "acme.com"), (2, "acme.com"), (3, "other.org"), (4, "")], "message long, domain string")
+    mentions = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (3, 99), (4, 11)], "message long, id long")
+    companies = spark.createDataFrame([(10, "Faculty", 20), (11, "Shop", None), (12, "Acme", None), (20, "University", 21), (21, "State", 777), (30, "Elsewhere", None)], "id long, name string, parent long")
+    got = sorted(map(tuple, senders.domain_owners(mails, mentions, companies).collect()))
+    assert got == [("acme.com", 10, "met"), ("acme.com", 11, "met"), ("acme.com", 12, "alike"), ("acme.com", 20, "above"), ("acme.com", 21, "above")]
+    assert sorted(r["id"] for r in senders.domain_owners(mails, mentions, companies, most=1).collect()) == [10, 20, 21]

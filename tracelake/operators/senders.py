@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import identifiers as I
 from tracelake.functions import text as T
 from tracelake.operators.ingest import numbered
+from tracelake.operators.joins import similar_names
 from tracelake.operators.latest import first_per_key
 from tracelake.shared import written
 from tracelake.store import Snapshot, Store, Table
@@ -94,3 +95,26 @@ def resolved_senders(store: Store, base: Snapshot, messages: DataFrame) -> tuple
     every = found.where("id IS NOT NULL AND (kind <> 'domain' OR role)").select("message", "id").unionByName(now.select("message", "id"))
     kinds = done.table("identities", every).select("id", "kind")
     return done, every.join(kinds, "id").select("message", "id", "kind")
+
+
+def domain_owners(mails: DataFrame, mentions: DataFrame, companies: DataFrame, most: int = 12, least: float = 0.55) -> DataFrame:
+    """(domain, id, origin): companies that a domain might belong to. met: named in mails
+    from the domain; alike: named like its first label; at most `most` of these, those
+    that meet it most often first, then by id; above: what these stand under, over any
+    number of steps. `mails`: (message, domain); `mentions`: (message, id); `companies`: (id, name, parent)."""
+    mails = mails.where("domain <> ''")
+    domains = mails.select("domain").distinct()
+    ids = companies.select("id")
+    met = mails.join(mentions, "message").groupBy("domain", "id").agg(F.count_distinct("message").alias("n")).join(ids, "id", "left_semi")
+    labels = domains.select(F.col("domain").alias("key"), F.substring_index("domain", ".", 1).alias("name"))
+    alike = similar_names(labels, companies.select(F.col("id").cast("string").alias("key"), "name"), "key", "name", least)
+    alike = alike.select(F.col("a_id").alias("domain"), F.col("b_id").cast("long").alias("id"), F.lit(0).cast("long").alias("n"))
+    direct = met.unionByName(alike).groupBy("domain", "id").agg(F.max("n").alias("n"))
+    direct = first_per_key(direct, ["domain"], [F.desc("n"), F.col("id")], most)
+    out = front = written(direct.select("domain", "id", F.when(F.col("n") > 0, "met").otherwise("alike").alias("origin")), "owners")
+    parents = companies.where("parent IS NOT NULL").select("id", F.col("parent").alias("_up")).join(ids.withColumnRenamed("id", "_up"), "_up", "left_semi")
+    while not front.isEmpty():
+        up = front.join(parents, "id").select("domain", F.col("_up").alias("id")).distinct().join(out, ["domain", "id"], "left_anti")
+        front = written(up.withColumn("origin", F.lit("above")), "owners")
+        out = out.unionByName(front)
+    return out

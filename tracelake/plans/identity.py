@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
-from tracelake.operators import hierarchy, identity, joins, places
+from tracelake.operators import hierarchy, identity, joins, places, senders
 from tracelake.sources.tables import events, messages, table, transactions
 
 
@@ -66,6 +66,17 @@ def a42_trace_costs(spark, d):
     return whole.select("id", F.round("own", 4).alias("whole"), F.col("calls").cast("long").alias("calls")).join(own.select("id", F.round("own", 4).alias("own")), "id").select("id", "own", "whole", "calls")
 
 
+def e20_domain_owners(spark, d):
+    """Suppliers that might own the domains of orders' customers: those of their orders, those named like the domain, and those above."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("Group n"), (k % 9).cast("string"))).otherwise(F.concat(F.lit("maker "), k.cast("string")))
+    companies = table(spark, d, "supplier").select(k.alias("id"), name.alias("name"), F.when(k % 5 == 0, F.floor(k / 3)).alias("parent"))
+    c = F.col("o_custkey") % 60
+    mails = table(spark, d, "orders").select(F.col("o_orderkey").alias("message"), F.when(c % 5 > 0, F.concat(F.when(c % 2 == 0, F.lit("group-n")).otherwise(F.lit("maker")), c.cast("string"), F.lit(".com"))).otherwise("").alias("domain"))
+    mentions = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_orderkey").alias("message"), F.col("l_suppkey").alias("id"))
+    return senders.domain_owners(mails, mentions, companies)
+
+
 def e23_upserted(spark, d):
     """Suppliers after changes: some new, some with another etag, some deleted."""
     k = F.col("s_suppkey")
@@ -261,6 +272,15 @@ SQL = {
         coalesce(cost, 0) / count(*) OVER (PARTITION BY s_suppkey % 15) AS own, coalesce(calls, 0) AS calls FROM supplier LEFT JOIN c ON c.user_id = s_suppkey % 15),
         w AS (SELECT ancestor AS id, round(sum(own), 4) AS whole, sum(calls) AS calls FROM ({_ANCESTORS}) JOIN o USING (id) GROUP BY 1)
         SELECT id, round(own, 4) AS own, whole, w.calls FROM w JOIN o USING (id)""",
+    "e20_domain_owners": f"""WITH RECURSIVE k AS MATERIALIZED (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'group n' || s_suppkey % 9 ELSE 'maker ' || s_suppkey END AS name, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey // 3 END AS parent FROM supplier),
+        m AS MATERIALIZED (SELECT o_orderkey AS message, CASE WHEN o_custkey % 2 = 0 THEN 'group-n' ELSE 'maker' END || o_custkey % 60 AS name FROM orders WHERE o_custkey % 5 > 0),
+        met AS (SELECT m.name, l_suppkey AS id, count(DISTINCT message) AS n FROM m JOIN lineitem ON l_orderkey = message AND l_returnflag = 'R' AND l_quantity > 45 WHERE l_suppkey IN (SELECT id FROM k) GROUP BY 1, 2),
+        a AS (SELECT name, {_GRAMS} AS g FROM (SELECT DISTINCT name FROM m)), b AS (SELECT id, {_GRAMS} AS g FROM k),
+        alike AS (SELECT a.name, b.id, 0 AS n FROM a JOIN b ON len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.55),
+        both_of AS (SELECT name, id, max(n) AS n FROM (SELECT * FROM met UNION ALL SELECT * FROM alike) GROUP BY 1, 2),
+        d AS MATERIALIZED (SELECT name, id, n FROM both_of QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, id) <= 12),
+        up AS (SELECT name, id FROM d UNION SELECT up.name, k.parent FROM up JOIN k ON k.id = up.id WHERE k.parent IN (SELECT id FROM k))
+        SELECT up.name || '.com' AS domain, up.id, CASE WHEN n > 0 THEN 'met' WHEN n = 0 THEN 'alike' ELSE 'above' END AS origin FROM up LEFT JOIN d ON d.name = up.name AND d.id = up.id""",
     "e23_upserted": """WITH r AS (SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey % 5 AS VARCHAR) AS etag FROM supplier),
         c AS (SELECT CASE WHEN id % 2 = 0 THEN id ELSE id + 1000000 END AS id, name || '!' AS name, CASE WHEN id % 4 = 0 THEN etag ELSE 'z' END AS etag, id % 9 = 0 AS deleted FROM r WHERE id % 3 = 0),
         x AS (SELECT id, r.name AS n, r.etag AS e, c.name AS cn, c.etag AS ce, c.deleted AS cd, CASE WHEN c.etag IS NULL THEN 'kept' WHEN c.deleted THEN 'deleted' WHEN r.name IS NULL THEN 'added'
