@@ -89,7 +89,7 @@ def toured(parents: DataFrame, order: str, values: tuple[str, ...] = ()) -> Data
 def linked(parents: DataFrame, links: DataFrame) -> DataFrame:
     """(idx, child, parent, accepted): links put into a forest one after another by
     idx, each in place of its child's parent, unless it is the child itself or comes
-    after it in the forest as it is by then. `parents`: (id, parent) without cycles;
+    after it in the forest as it is by then. `parents`: (id, parent) without cycles, one's own parent being a top;
     `links`: (idx, child, parent), one for each child (see `first_links`).
 
     A link walks up from its parent, all links at once, a step a round. Where it
@@ -97,7 +97,7 @@ def linked(parents: DataFrame, links: DataFrame) -> DataFrame:
     earliest undecided one never does, so the rounds end."""
     spark = links.sparkSession
     own = links.select(F.col("child").alias("id"), F.col("idx").alias("_idx"), F.col("parent").alias("_to"))
-    steps = written(parents.select("id", F.col("parent").alias("_old")).join(own, "id", "full"), "steps")
+    steps = written(parents.select("id", F.when(F.col("parent") != F.col("id"), F.col("parent")).alias("_old")).join(own, "id", "full"), "steps")
     walks = written(links.select("idx", "child", F.col("parent").alias("at")), "walks")
     decided = written(spark.createDataFrame([], "idx long, accepted boolean"), "decided")
     while not walks.isEmpty():
