@@ -6,9 +6,17 @@ being a message's modules, is an array in its row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from heapq import heapify, heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from tracelake.operators.ingest import numbered
 from tracelake.shared import written
 
 
@@ -18,7 +26,7 @@ def closure(chosen: DataFrame, deps: DataFrame) -> DataFrame:
     known = fresh = written(chosen.select("grp", "name").distinct(), "closure")
     while not fresh.isEmpty():
         onward = fresh.join(deps.select("name", "dep"), "name").select("grp", F.col("dep").alias("name")).distinct()
-        fresh = written(onward.join(known, ["grp", "name"], "left_anti"), "closure")
+        fresh = written(onward.join(known.hint("merge"), ["grp", "name"], "left_anti"), "closure")  # what is known grows: never sent to all
         known = known.unionByName(fresh)
     return known
 
@@ -52,45 +60,109 @@ def peeled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return levels, left
 
 
-def first_free(items: Column) -> Column:
-    """The order in which an array of (name, deps) can run: always the least name
-    whose deps among the array have run. Null if some wait for one another.
-    Quadratic in the array, which is what one request chose."""
-    kind = "struct<done:array<string>,left:array<struct<name:string,deps:array<string>>>>"
-    names = F.transform(items, lambda x: x["name"])
-    own = F.transform(F.array_sort(items), lambda x: F.struct(x["name"].alias("name"), F.array_intersect(x["deps"], names).alias("deps")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), own.alias("left")).cast(kind)
-
-    def step(state: Column, _: Column) -> Column:
-        ready = F.filter(state["left"], lambda x: F.size(x["deps"]) == 0)
-        without = lambda name: F.transform(F.filter(state["left"], lambda x: x["name"] != name), lambda x: F.struct(x["name"].alias("name"), F.array_remove(x["deps"], name).alias("deps")))
-        # as an array of one, so that the name is looked for once and not for every item
-        after = F.transform(F.slice(ready, 1, 1), lambda r: F.struct(F.concat(state["done"], F.array(r["name"])).alias("done"), without(r["name"]).alias("left")))
-        return F.coalesce(F.get(after, F.lit(0)).cast(kind), state)
-
-    end = F.aggregate(F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items))).otherwise(F.array().cast("array<int>")), start, step)
-    return F.when(F.size(end["left"]) == 0, end["done"])
+def _least_first(values: list[int], most: int) -> tuple[list[int], list[int | None], list[int | None]]:
+    """Numbers, places and packs of one request from its flat items (see `_arranged`):
+    always the least number whose dependencies among the items have run; then the
+    lost ones, without a place. Fewer places than items: some wait for one another."""
+    hard: dict[int, list[int]] = {}
+    soft: dict[int, list[int]] = {}
+    lost, at = set(), 0
+    while at < len(values):
+        name, h, s = values[at : at + 3]
+        at += 3
+        if h < 0:
+            lost.add(name)
+            continue
+        hard[name], soft[name] = values[at : at + h], values[at + h : at + h + s]
+        at += h + s
+    behind: dict[int, list[int]] = {}
+    waits = {}
+    for name in hard:
+        held = [d for d in hard[name] + soft[name] if d in hard]
+        waits[name] = len(held)
+        for d in held:
+            behind.setdefault(d, []).append(name)
+    free = [name for name, n in waits.items() if not n]
+    heapify(free)
+    names: list[int] = []
+    packs: list[int | None] = []
+    reach: dict[int, set[int]] = {}
+    pack, held_now = 0, []
+    while free:
+        name = heappop(free)
+        for d in behind.get(name, ()):
+            waits[d] -= 1
+            if not waits[d]:
+                heappush(free, d)
+        reach[name] = {x for d in hard[name] if d in hard for x in (d, *reach[d])}
+        if len(held_now) >= most or not reach[name].isdisjoint(held_now):
+            pack, held_now = pack + 1, []
+        held_now.append(name)
+        names.append(name)
+        packs.append(pack)
+    if len(names) < len(hard):
+        return [], [], []
+    places = [*range(len(names)), *[None] * len(lost)]
+    return names + sorted(lost), places, packs + [None] * len(lost)
+
+
+def _arranged(chosen: DataFrame, deps: DataFrame, active: DataFrame, most: int) -> DataFrame:
+    """(grp, name, place, pack) as `ordered` and `packed` say. What a name needs is
+    followed once for each name, not for each group that chose it. Names are numbers, in
+    their order, until the end; a name's needs are one flat array: for each, its
+    number, how many hard and soft dependencies it has (-1: it is dropped), and these."""
+    ends = lambda df, *columns: reduce(DataFrame.unionByName, [df.select(F.col(c).alias("name")) for c in columns]).distinct()
+    names = ends(chosen.select("name"), "name").unionByName(ends(deps, "name", "dep")).distinct().where("name IS NOT NULL")
+    numbers = written(numbered(names.withColumn("_one", F.lit(0)), ["_one"], ["name"]).select("name", F.col("place").cast("int").alias("n")), "names")
+    n_of = lambda name, n: numbers.select(F.col("name").alias(name), F.col("n").alias(n))
+    edges = written(deps.join(n_of("name", "_n"), "name").join(n_of("dep", "_d"), "dep").groupBy(F.col("_n").alias("name"), F.col("_d").alias("dep")).agg(F.max("hard").alias("hard")), "deps")
+    hard, on = edges.where("hard").select("name", "dep"), written(active.join(numbers, "name").select(F.col("n").alias("name")).distinct(), "active")
+    among = written(hard.join(on, "name", "left_semi").join(on.withColumnRenamed("name", "dep"), "dep", "left_semi"), "among")
+    wanted = chosen.select("name").distinct().join(numbers, "name").select(F.col("n").alias("name"))
+    need = written(closure(wanted.select(F.col("name").alias("grp"), "name"), among), "needed")
+    off = dropped(hard.unionByName(need.select("name", F.col("name").alias("dep")).distinct()), on).withColumn("_off", F.lit(True))
+    kind = lambda hard: F.array_sort(F.collect_list(F.when(F.col("hard") == hard, F.col("dep"))))
+    per_name = edges.groupBy("name").agg(kind(True).alias("h"), kind(False).alias("s"))
+    none = F.array().cast("array<int>")
+    items = need.select("name").distinct().join(per_name, "name", "left").join(off, "name", "left")
+    h, s = F.coalesce("h", none), F.coalesce("s", none)
+    item = F.when(F.col("_off"), F.array("name", F.lit(-1), F.lit(0))).otherwise(F.concat(F.array(F.col("name"), F.size(h), F.size(s)), h, s))
+    needs = need.join(items.select("name", item.alias("item")), "name").groupBy(F.col("grp").alias("n")).agg(F.flatten(F.collect_list("item")).alias("needs"))
+    needs = written(needs.join(numbers, "n").select("name", "needs"), "needs")
+    groups = chosen.select("grp", "name").join(needs, "name").groupBy("grp").agg(F.flatten(F.collect_list("needs")).alias("items"))
+    grp = chosen.schema["grp"].dataType
+
+    def arranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, columns, counts = batch.column(0), ([], [], []), []
+            for row, values in enumerate(batch.column(1)):
+                got = _least_first(values.as_py(), most)
+                if not got[0]:
+                    raise ValueError(f"the dependencies go round in a circle in {keys[row]}")
+                counts.append(len(got[0]))
+                for column, more in zip(columns, got, strict=True):
+                    column += more
+            at = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([keys.take(at), *[pa.array(c, pa.int32()) for c in columns]], ["grp", "n", "place", "pack"])
+
+    rows = groups.select("grp", "items").mapInArrow(arranged, StructType([StructField("grp", grp)]).add("n", "integer").add("place", "integer").add("pack", "integer"))
+    return rows.join(numbers.hint("shuffle_hash"), "n").select("grp", "name", "place", "pack")
 
 
 def ordered(chosen: DataFrame, deps: DataFrame, active: DataFrame) -> DataFrame:
     """(grp, name, place): what each group's choice needs, with its place in the
     group's order from 0, null for a name that is dropped: one that isn't active or
-    depends on such a one, over any number of steps. Inactive names that weren't
+    depends on such a one, over any number of steps. The order always takes the least
+    name whose dependencies in the group have run. Inactive names that weren't
     chosen are not listed. `deps`: (name, dep, hard); a soft one orders two names
     that both run and adds none. A group with a cycle gets an error.
     """
-    hard, on = deps.where("hard").select("name", "dep"), active.select("name").distinct()
-    among = hard.join(on, "name", "left_semi").join(on.withColumnRenamed("name", "dep"), "dep", "left_semi")
-    need = written(closure(chosen, among), "needed")
-    known = need.select("name").distinct()
-    off = dropped(hard.unionByName(known.select("name", F.col("name").alias("dep"))), active)
-    runs = need.join(off, "name", "left_anti")
-    per_name = deps.groupBy("name").agg(F.array_sort(F.collect_set("dep")).alias("deps"))
-    items = runs.join(per_name, "name", "left").select("grp", F.struct("name", F.coalesce("deps", F.array().cast("array<string>")).alias("deps")).alias("x"))
-    orders = items.groupBy("grp").agg(F.collect_list("x").alias("x")).select("grp", first_free(F.col("x")).alias("order"))
-    sound = F.when(F.col("order").isNull(), F.raise_error(F.concat(F.lit("the dependencies go round in a circle in "), F.col("grp").cast("string"))).cast("array<string>")).otherwise(F.col("order"))
-    placed = orders.select("grp", F.posexplode(sound).alias("place", "name")).select("grp", "name", "place")
-    return placed.unionByName(need.join(off, "name", "left_semi").select("grp", "name", F.lit(None).cast("int").alias("place")))
+    return _arranged(chosen, deps, active, 1).select("grp", "name", "place")
+
+
+def ordered_packs(chosen: DataFrame, deps: DataFrame, active: DataFrame, most: int) -> DataFrame:
+    """(grp, name, place, pack): `packed(ordered(...), hard deps, most)`, from one pass over each group."""
+    return _arranged(chosen, deps, active, most).where("place IS NOT NULL")
 
 
 def packs(items: Column, most: int) -> Column:

@@ -92,21 +92,20 @@ def _modules(spark, d):
     return hard.unionByName(soft), parts.where("p_size <> 17").select(name(p).alias("name"))
 
 
-def _orders(spark, d):
-    deps, active = _modules(spark, d)
+def _requests(spark, d):
+    """(grp, name) chosen, by order, and what `_modules` says."""
     chosen = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("name"))
-    return dependencies.ordered(chosen, deps, active), deps
+    return chosen, *_modules(spark, d)
 
 
 def w15_order(spark, d):
     """What the parts of each order need, in an order in which it can run; null for what can't."""
-    return _orders(spark, d)[0]
+    return dependencies.ordered(*_requests(spark, d))
 
 
 def w16_packs(spark, d):
     """The same in packs of three, none with one's own dependency."""
-    orders, deps = _orders(spark, d)
-    return dependencies.packed(orders, deps.where("hard").select("name", "dep"), 3)
+    return dependencies.ordered_packs(*_requests(spark, d), 3)
 
 
 def _jobs(spark, d):
