@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracelake.operators.rules import Rule
@@ -24,13 +25,13 @@ VERSIONS = (
 )
 
 
-def _parts(spark, d, number: int):
-    """The events in so many files of a folder, by time, one of them after the other."""
-    rows = events(spark, d)
-    span = rows.agg(F.min("event_id").alias("low"), (F.max("event_id") + 1).alias("high")).first()
+def _parts(spark, d, number: int, by: Column | None = None):
+    """The events in so many files of a folder, by number or another column of longs, one of them after the other."""
+    rows, by = events(spark, d), F.col("event_id") if by is None else by
+    span = rows.agg(F.min(by).alias("low"), (F.max(by) + 1).alias("high")).first()
     folder, cuts = new_path(spark, "parts"), [span["low"] + (span["high"] - span["low"]) * k // number for k in range(number + 1)]
     for low, high in zip(cuts, cuts[1:], strict=False):
-        yield folder, rows.where((F.col("event_id") >= low) & (F.col("event_id") < high))
+        yield folder, rows.where((by >= low) & (by < high))
 
 
 def _actions(rows):
@@ -44,9 +45,10 @@ def _actions(rows):
 
 
 def t10_notices(spark, d):
-    """Notices made of the events by a stream in four batches; purged ones are those that the watermark has passed."""
+    """Notices made of the events by a stream in four batches; purged ones are those that the watermark has passed.
+    The batches are spans of time, not of numbers: what has a higher number may be earlier, and would come too late."""
     folder = ""
-    for folder, part in _parts(spark, d, 4):
+    for folder, part in _parts(spark, d, 4, F.unix_micros(F.col("ts").cast("timestamp"))):
         part.coalesce(1).write.mode("append").parquet(folder)
     target = new_path(spark, "notices")
     notices.kept_queue(_actions(live.stream(spark, folder, 1)), "1 hour", target, new_path(spark, "state")).awaitTermination()
