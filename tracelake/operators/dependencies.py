@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,9 @@ from pyspark.sql.types import StructField, StructType
 from tracelake.operators.ingest import numbered
 from tracelake.shared import written
 
+#: Requests times items that are ordered at once, a byte each.
+CELLS = 1 << 22
+
 
 def closure(chosen: DataFrame, deps: DataFrame) -> DataFrame:
     """(grp, name) of what is chosen and all it depends on, from (grp, name) and
@@ -60,57 +62,59 @@ def peeled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return levels, left
 
 
-def _least_first(values: list[int], most: int) -> tuple[list[int], list[int | None], list[int | None]]:
-    """Numbers, places and packs of one request from its flat items (see `_arranged`):
-    always the least number whose dependencies among the items have run; then the
-    lost ones, without a place. Fewer places than items: some wait for one another."""
-    hard: dict[int, list[int]] = {}
-    soft: dict[int, list[int]] = {}
-    lost, at = set(), 0
-    while at < len(values):
-        name, h, s = values[at : at + 3]
-        at += 3
-        if h < 0:
-            lost.add(name)
-            continue
-        hard[name], soft[name] = values[at : at + h], values[at + h : at + h + s]
-        at += h + s
-    behind: dict[int, list[int]] = {}
-    waits = {}
-    for name in hard:
-        held = [d for d in hard[name] + soft[name] if d in hard]
-        waits[name] = len(held)
-        for d in held:
-            behind.setdefault(d, []).append(name)
-    free = [name for name, n in waits.items() if not n]
-    heapify(free)
-    names: list[int] = []
-    packs: list[int | None] = []
-    reach: dict[int, set[int]] = {}
-    pack, held_now = 0, []
-    while free:
-        name = heappop(free)
-        for d in behind.get(name, ()):
-            waits[d] -= 1
-            if not waits[d]:
-                heappush(free, d)
-        reach[name] = {x for d in hard[name] if d in hard for x in (d, *reach[d])}
-        if len(held_now) >= most or not reach[name].isdisjoint(held_now):
-            pack, held_now = pack + 1, []
-        held_now.append(name)
-        names.append(name)
-        packs.append(pack)
-    if len(names) < len(hard):
-        return [], [], []
-    places = [*range(len(names)), *[None] * len(lost)]
-    return names + sorted(lost), places, packs + [None] * len(lost)
+def _least_first(group: np.ndarray, heads: np.ndarray, deps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of many requests' items at once, request by request, each a number, how many hard
+    and soft dependencies it has (-1: it is lost) and in `deps` these: one item of each
+    request and number, its place, its pack and whether it is lost. Each turn takes from every
+    request the least number whose dependencies among the items have run. No place
+    (-1) though it isn't lost: it waits for itself. An item starts a pack if the last of its
+    hard dependencies runs in the one before, where those behind that one can't run earlier."""
+    key, first = np.unique(group << 32 | heads[:, 0], return_index=True)
+    counts = np.maximum(heads[:, 1], 0) + heads[:, 2]
+    begin, count, hard, of = (np.cumsum(counts) - counts)[first], counts[first], heads[first, 1], group[first]
+    item = np.repeat(np.arange(len(key)), count)
+    nth = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+    needed = of[item] << 32 | deps[begin[item] + nth]
+    to = np.minimum(np.searchsorted(key, needed), max(len(key) - 1, 0))
+    met = (key[to] == needed) & (hard[to] >= 0)
+    by = np.argsort(to[met], kind="stable")
+    behind, firmly, many = item[met][by], (nth < hard[item])[met][by], np.bincount(to[met], minlength=len(key))
+    since, waits = np.cumsum(many) - many, np.bincount(item[met], minlength=len(key))
+    place, pack, last = (np.full(len(key), -1) for _ in range(3))
+    sizes = np.bincount(of)
+    offset, row = np.cumsum(sizes) - sizes, np.zeros(len(sizes), int)
+    left = np.argsort(-sizes, kind="stable")
+    while len(left):
+        some, left = np.split(left, [max(1, CELLS // max(sizes[left[0]], 1))])
+        row[some] = np.arange(len(some))
+        inside = np.flatnonzero(np.isin(of, some))
+        free = np.zeros((len(some), max(sizes[some[0]], 1)), bool)
+        free[row[of[inside]], inside - offset[of[inside]]] = (waits[inside] == 0) & (hard[inside] >= 0)
+        live, start, now, turn = some, np.zeros(len(some), int), np.zeros(len(some), int), 0
+        while len(live):
+            column = free[row[live]].argmax(axis=1)
+            on = free[row[live], column]
+            live, column = live[on], column[on]
+            x, r = offset[live] + column, row[live]
+            free[r, column] = False
+            new = (turn - start[r] >= most) | (last[x] >= start[r])
+            now[r] += new
+            start[r[new]] = turn
+            place[x], pack[x] = turn, now[r]
+            edge = np.repeat(since[x] - np.cumsum(many[x]) + many[x], many[x]) + np.arange(many[x].sum())
+            waits[behind[edge]] -= 1
+            last[behind[edge[firmly[edge]]]] = turn
+            ready = behind[edge][waits[behind[edge]] == 0]
+            free[row[of[ready]], ready - offset[of[ready]]] = True
+            turn += 1
+    return first, place, pack, hard < 0
 
 
 def _arranged(chosen: DataFrame, deps: DataFrame, active: DataFrame, most: int) -> DataFrame:
     """(grp, name, place, pack) as `ordered` and `packed` say. What a name needs is
     followed once for each name, not for each group that chose it. Names are numbers, in
-    their order, until the end; a name's needs are one flat array: for each, its
-    number, how many hard and soft dependencies it has (-1: it is dropped), and these."""
+    their order; a name's needs are arrays: what they are called, three numbers for each
+    (its own, how many hard and soft dependencies it has, -1 if it is dropped), and all these."""
     ends = lambda df, *columns: reduce(DataFrame.unionByName, [df.select(F.col(c).alias("name")) for c in columns]).distinct()
     names = ends(chosen.select("name"), "name").unionByName(ends(deps, "name", "dep")).distinct().where("name IS NOT NULL")
     numbers = written(numbered(names.withColumn("_one", F.lit(0)), ["_one"], ["name"]).select("name", F.col("place").cast("int").alias("n")), "names")
@@ -126,27 +130,28 @@ def _arranged(chosen: DataFrame, deps: DataFrame, active: DataFrame, most: int)
     none = F.array().cast("array<int>")
     items = need.select("name").distinct().join(per_name, "name", "left").join(off, "name", "left")
     h, s = F.coalesce("h", none), F.coalesce("s", none)
-    item = F.when(F.col("_off"), F.array("name", F.lit(-1), F.lit(0))).otherwise(F.concat(F.array(F.col("name"), F.size(h), F.size(s)), h, s))
-    needs = need.join(items.select("name", item.alias("item")), "name").groupBy(F.col("grp").alias("n")).agg(F.flatten(F.collect_list("item")).alias("needs"))
-    needs = written(needs.join(numbers, "n").select("name", "needs"), "needs")
-    groups = chosen.select("grp", "name").join(needs, "name").groupBy("grp").agg(F.flatten(F.collect_list("needs")).alias("items"))
+    dropped_item = F.array("name", F.lit(-1), F.lit(0))
+    items = items.join(n_of("text", "name"), "name").select("name", F.struct(
+        "text", F.when(F.col("_off"), dropped_item).otherwise(F.array(F.col("name"), F.size(h), F.size(s))).alias("head"), F.when(F.col("_off"), none).otherwise(F.concat(h, s)).alias("deps"),
+    ).alias("item"))
+    needs = need.join(items, "name").groupBy(F.col("grp").alias("n")).agg(F.collect_list("item").alias("x"))
+    needs = needs.join(numbers, "n").select("name", F.col("x.text").alias("names"), F.flatten("x.head").alias("heads"), F.flatten("x.deps").alias("deps"))
+    needs = written(needs, "needs")
+    groups = chosen.select("grp", "name").join(needs, "name").groupBy("grp").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("names", "heads", "deps")])
     grp = chosen.schema["grp"].dataType
 
     def arranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = lambda column: column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         for batch in batches:
-            keys, columns, counts = batch.column(0), ([], [], []), []
-            for row, values in enumerate(batch.column(1)):
-                got = _least_first(values.as_py(), most)
-                if not got[0]:
-                    raise ValueError(f"the dependencies go round in a circle in {keys[row]}")
-                counts.append(len(got[0]))
-                for column, more in zip(columns, got, strict=True):
-                    column += more
-            at = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([keys.take(at), *[pa.array(c, pa.int32()) for c in columns]], ["grp", "n", "place", "pack"])
-
-    rows = groups.select("grp", "items").mapInArrow(arranged, StructType([StructField("grp", grp)]).add("n", "integer").add("place", "integer").add("pack", "integer"))
-    return rows.join(numbers.hint("shuffle_hash"), "n").select("grp", "name", "place", "pack")
+            keys, names = batch.column(0), batch.column(1)
+            group = np.repeat(np.arange(len(names)), names.value_lengths().to_numpy(zero_copy_only=False))
+            first, place, pack, lost = _least_first(group, flat(batch.column(2)).reshape(-1, 3), flat(batch.column(3)), most)
+            if (stuck := (place < 0) & ~lost).any():
+                raise ValueError(f"the dependencies go round in a circle in {keys[int(group[first[stuck.argmax()]])]}")
+            numbers = [pa.array(c, pa.int32(), mask=lost) for c in (place, pack)]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(group[first])), names.flatten().take(pa.array(first)), *numbers], ["grp", "name", "place", "pack"])
+
+    return groups.select("grp", "names", "heads", "deps").mapInArrow(arranged, StructType([StructField("grp", grp)]).add("name", "string").add("place", "integer").add("pack", "integer"))
 
 
 def ordered(chosen: DataFrame, deps: DataFrame, active: DataFrame) -> DataFrame:
