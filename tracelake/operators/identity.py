@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import identifiers as I
 from tracelake.functions import text as T
-from tracelake.operators.joins import similar_names
+from tracelake.operators.joins import joined, similar_names
 
 #: Similarity from which a name is taken for the same one, and from which it is a candidate (fixed values).
 SAME, CANDIDATE = 0.92, 0.55
@@ -77,15 +77,18 @@ def resolved(mentions: DataFrame, known: DataFrame, ids: DataFrame) -> DataFrame
 def alike(unresolved: DataFrame, known: DataFrame) -> DataFrame:
     """(id, identity, score, decision) of mentions (id, kind, name) that nothing
     settled: the known name of the same kind that is most alike, the one with the
-    fewest edits and the smallest id on a tie; merge, candidate or new."""
-    left = unresolved.select("id", "name", "kind")
-    pairs = similar_names(left, known.select("id", "name"), "id", "name", CANDIDATE)
-    pairs = pairs.join(left.select(F.col("id").alias("a_id"), F.col("name").alias("a"), F.col("kind").alias("ka")), "a_id")
-    pairs = pairs.join(known.select(F.col("id").alias("b_id"), F.col("name").alias("b"), F.col("kind").alias("kb")), "b_id").where("ka = kb")
-    edits = F.levenshtein(F.substring("a", 1, 255), F.substring("b", 1, 255))
-    best = pairs.groupBy("a_id").agg(F.min(F.struct(-F.col("score"), edits, "b_id")).alias("x")).select(F.col("a_id").alias("id"), F.col("x.b_id").alias("identity"), (-F.col("x.col1")).alias("score"))
+    fewest edits and the smallest id on a tie; merge, candidate or new. What a name
+    is like is looked up once a kind and name, however many mentions have it."""
+    told = F.struct("kind", "name").alias("told")
+    names = unresolved.select("kind", "name").distinct().select("kind", "name", told)
+    targets = known.groupBy("kind", "name").agg(F.min("id").alias("id")).select("kind", "name", F.struct("kind", "name", "id").alias("told"))
+    pairs = similar_names(names, targets, "told", "name", CANDIDATE, ("kind",))
+    edits = F.levenshtein(F.substring("a_id.name", 1, 255), F.substring("b_id.name", 1, 255))
+    best = pairs.groupBy("a_id").agg(F.min(F.struct(-F.col("score"), edits, F.col("b_id.id").alias("b_id"))).alias("x")).select("a_id.kind", "a_id.name", F.col("x.b_id").alias("identity"), (-F.col("x.col1")).alias("score"))
+    often = unresolved.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("_n"))
+    found = joined(unresolved.select("id", told), often.join(best, ["kind", "name"], "left").select(told, "identity", "score", "_n"), "told", "_n")
     decision = F.when(F.col("score") >= SAME, "merge").when(F.col("score").isNotNull(), "candidate").otherwise("new")
-    return left.select("id").join(best, "id", "left").withColumn("decision", decision)
+    return found.select("id", "identity", "score", decision.alias("decision"))
 
 
 def upserted(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
