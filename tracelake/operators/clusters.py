@@ -120,7 +120,10 @@ def parted(store: Store, base: Snapshot, candidates: DataFrame, groups: DataFram
 def retraced(store: Store, base: Snapshot, nodes: DataFrame) -> Snapshot:
     """The store with the traces of some inboxes written anew: (inbox, node, parent, seq,
     kind, label); nodes that these inboxes had before and have no more go."""
-    new = written(nodes.select(*TRACE_TABLES["trace"].schema.names), "trace")
+    nodes = nodes.select(*TRACE_TABLES["trace"].schema.names)
+    if not base.folders.get("trace"):  # nothing was there that could go
+        return store.commit(base, {"trace": nodes.withColumn("gone", F.lit(False))})
+    new = written(nodes, "trace")
     had = base.table("trace", new).join(new.select("inbox").distinct(), "inbox", "left_semi").join(new, ["inbox", "node"], "left_anti")
     return store.commit(base, {"trace": new.withColumn("gone", F.lit(False)).unionByName(had.withColumn("gone", F.lit(True)))})
 

@@ -16,14 +16,15 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracelake.shared import removed, written
 
-#: Files of a bucket at most: one bucket's rows are so many tasks' work.
+#: Files of a bucket at least, and rows of a file, about: one bucket's rows are so many tasks' work.
 SPREAD = 4
+ROWS_OF_A_FILE = 1_000_000
 
 
 class Conflict(RuntimeError):
@@ -108,9 +109,14 @@ class Store:
             if not touched:
                 continue
             kept = Snapshot(self, base.version, {name: {b: f for b, f in base.folders.get(name, {}).items() if b in touched}}).table(name)
-            rows = kept.join(change.select(*table.keys), list(table.keys), "left_anti").select(*table.schema.names).unionByName(change.where("NOT gone").drop("gone"))
-            rows = rows.withColumn("_bucket", self.bucket(name))
-            dealt = rows.repartition("_bucket", F.pmod(F.xxhash64(*table.keys), F.lit(SPREAD)))
+            rows = change.unionByName(kept.withColumn("gone", F.lit(None).cast("boolean")))
+            spread = max(SPREAD, rows.count() // (ROWS_OF_A_FILE * len(touched)))
+            dealt = rows.withColumns({"_bucket": self.bucket(name), "_part": F.pmod(F.xxhash64(*table.keys), F.lit(spread))}).repartition("_bucket", "_part")
+            if touched & base.folders.get(name, {}).keys():
+                # the one shuffle brings old and new rows of a key together: `gone` is null in old ones, which come last
+                turn = Window.partitionBy("_bucket", "_part", *table.keys).orderBy(F.col("gone").asc_nulls_last())
+                dealt = dealt.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").drop("_turn")
+            dealt = dealt.where("gone IS NULL OR NOT gone").drop("gone", "_part")
             dealt.write.partitionBy("_bucket").parquet(f"{self.path}/{here}")
             fs, folder = self._fs(f"{self.path}/{here}")
             made = {s.getPath().getName().removeprefix("_bucket=") for s in fs.listStatus(folder) if s.isDirectory()}
