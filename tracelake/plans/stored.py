@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import calendar_sync, clusters, consolidate, senders
 from tracelake.plans import finance
-from tracelake.shared import new_path
+from tracelake.shared import new_path, written
 from tracelake.sources.tables import events, table, transactions
 from tracelake.store import Store
 
@@ -20,6 +20,7 @@ def e10_incremental(spark, d):
     rows, pairs = transactions(spark, d), finance.e1_duplicate_pairs(spark, d).select("a_id", "b_id")
     at = rows.select("id", "at")
     dated = pairs.join(at.toDF("a_id", "a_at"), "a_id").join(at.toDF("b_id", "b_at"), "b_id").select("a_id", "b_id", F.greatest("a_at", "b_at").alias("at"))
+    dated = written(dated, "dated")  # each batch reads its pairs, none makes all again
     store = Store(spark, new_path(spark, "groups"), consolidate.GROUP_TABLES)
     snapshot, since, changes = store.snapshot(), "1900-01-01", []
     for number, until in enumerate(BATCHES):

@@ -57,7 +57,7 @@ class Snapshot:
         buckets = held.keys() if touching is None else self.store.buckets_of(name, touching) & held.keys()
         reader = self.store.spark.read.schema(table.schema)
         paths = [f"{self.store.path}/{held[b]}" for b in sorted(buckets, key=int)]
-        return reader.parquet(*paths) if paths else self.store.spark.createDataFrame([], table.schema)
+        return reader.parquet(*paths) if paths else self.store.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema]).where(F.lit(False))
 
 
 class Store:
