@@ -70,11 +70,12 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of `tokens_of` of all texts, one after another, and the place of each one's text."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     split = pc.ascii_split_whitespace(texts)
-    flat = split.flatten()
-    some = pc.greater(pc.binary_length(flat), 0)  # white space at either end gives an empty word
-    text = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
+    flat, text = split.flatten(), np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
+    some = pc.greater(pc.binary_length(flat), 0)  # an empty text gives an empty word
+    if pc.all(some).as_py():
+        return flat, text
     return flat.filter(some), text[some.to_numpy(zero_copy_only=False)]
 
 
@@ -303,7 +304,10 @@ class Network:
             logits -= np.repeat(np.maximum.reduceat(logits, starts), widths)
         picked = logits[place]
         np.exp(logits, out=logits)
-        total = np.add.reduceat(logits, starts)
+        total, ones, row = np.empty(len(widths), states.dtype), np.ones(max((v.shape[1] for v in views), default=0), states.dtype), 0
+        for view in views:
+            np.matmul(view, ones[: view.shape[1]], out=total[row : row + len(view)])
+            row += len(view)
         picked -= np.log(total)
         out = np.empty(n, states.dtype)
         out[order] = np.bincount(token, picked, n)
