@@ -17,6 +17,9 @@ from tracelake.streaming import live, notices
 #: Days that a notice is due after its last emission.
 DUE = 3
 
+#: Files of a trigger that takes all there are.
+WHOLE = (1 << 31) - 1
+
 #: The rules of the first, second and third part of the events.
 VERSIONS = (
     [Rule(1, "ignore", {"k": {"prefix": "9"}}), Rule(2, "ignore", {"k": {"regex": "^1"}}, priority=5)],
@@ -46,12 +49,12 @@ def _actions(rows):
 
 def t10_notices(spark, d):
     """Notices made of the events by a stream in four batches; purged ones are those that the watermark has passed.
-    The batches are spans of time, not of numbers: what has a higher number may be earlier, and would come too late."""
-    folder = ""
+    The batches are spans of time, not of numbers: what has a higher number may be earlier, and would come too late.
+    Each batch has as many files as its tasks wrote; the stream goes on from its checkpoint when they are there."""
+    target, state = new_path(spark, "notices"), new_path(spark, "state")
     for folder, part in _parts(spark, d, 4, F.unix_micros(F.col("ts").cast("timestamp"))):
-        part.coalesce(1).write.mode("append").parquet(folder)
-    target = new_path(spark, "notices")
-    notices.kept_queue(_actions(live.stream(spark, folder, 1)), "1 hour", target, new_path(spark, "state")).awaitTermination()
+        part.write.mode("append").parquet(folder)
+        notices.kept_queue(_actions(live.stream(spark, folder, WHOLE)), "1 hour", target, state).awaitTermination()
     micros = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
     got = notices.notices(spark.read.parquet(target))
     return got.select("user_id", "dedup_key", *[micros(c) for c in ("created", "read", "dismissed", "expires")], "content", "emitted", "purged")
